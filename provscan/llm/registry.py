@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provscan.llm import simhash
+from provscan.llm import simhash, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_simhash": op3_simhash}
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", *(F.col(f"__{c}").alias(c) for c in names))
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op9_suffix": op9_suffix}
 ORACLES: dict[str, str] = {}

@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provscan.llm import simhash, suffix
+from provscan.llm import bpe, packing, simhash, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_vocabulary() -> str:
+    """Path of the vocabulary that the registered queries use; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(_table(spark, sf_dir, "documents"), word_vocabulary()).withColumnRenamed("id", "doc_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -21,11 +32,15 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), word_vocabulary()).withColumnRenamed("id", "doc_id")
+
+
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
     return found.select("doc_id", *(F.col(f"__{c}").alias(c) for c in names))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op9_suffix": op9_suffix}
+QUERIES = {"op2_best_fit": op2_best_fit, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op9_suffix": op9_suffix}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provscan.llm import bpe, packing, simhash, suffix
+from provscan.llm import bpe, packing, simhash, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +36,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), word_vocabulary()).withColumnRenamed("id", "doc_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
     return found.select("doc_id", *(F.col(f"__{c}").alias(c) for c in names))
 
 
-QUERIES = {"op2_best_fit": op2_best_fit, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op9_suffix": op9_suffix}
+QUERIES = {"op2_best_fit": op2_best_fit, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op6_toxicity": op6_toxicity, "op9_suffix": op9_suffix}
 ORACLES: dict[str, str] = {}

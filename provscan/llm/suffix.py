@@ -331,11 +331,11 @@ def _cut_batches(batches):
             spans = _cover(len(text), second[second & 1 > 0] >> 2, third >> 2)
             bounds = [0, *spans.ravel().tolist(), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2]))
-            rows.append((len(text) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest()))
+            rows.append((len(text) - len(kept), spans.ravel(), kept.decode(errors="ignore"), hashlib.sha256(kept).hexdigest()))
         removed, spans, kept, digests = zip(*rows) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(k1), pa.array(k2), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(digests, pa.string())],
-            names=["k1", "k2", "n_removed", "n_spans", "kept", "kept_sha256"],
+            [pa.array(k1), pa.array(k2), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.string()), pa.array(digests, pa.string())],
+            names=["k1", "k2", "n_removed", "spans", "kept_text", "kept_sha256"],
         )
 
 
@@ -347,10 +347,10 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """(k1, k2, n_removed, n_spans, kept binary, kept_sha256) of each text that loses bytes.
+    """(k1, k2, n_removed, spans, kept_text, kept_sha256) of each text that shares bytes with another text or itself.
 
-    Texts that occur once only, or are needed to judge others; whole copies are
-    found by their key alone and are the caller's to drop (see ``deduplicated``).
+    spans: byte offsets start, end, start, end, ... of the runs removed.
+    Copies of a whole text count once here: ``deduplicated`` finds them by their key.
     """
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
     keyed = _keyed(docs.select(text_col), text_col)
@@ -365,19 +365,20 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", scratch: Scratch | N
     open_ = left.select("k1", "k2", "text").join(second, ["k1", "k2"])
     third = scratch.write(_sorted_round(open_.mapInArrow(_third_batches, _ROWS), "value % 2 = 1"), "third")
     settled = open_.join(third.withColumnRenamed("values", "more"), ["k1", "k2"], "left")
-    schema = "k1 long, k2 int, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    schema = "k1 long, k2 int, n_removed long, spans array<long>, kept_text string, kept_sha256 string"
     return settled.mapInArrow(_cut_batches, schema).where("n_removed > 0")
 
 
 def deduplicated(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans, kept binary and kept_sha256 in columns named __...
+    """``docs`` with n_bytes, n_removed, n_spans, spans, kept_text and kept_sha256 in columns named __...
 
     Every byte goes that lies in a 200-byte string which starts anywhere else
     too; texts that occur on several rows go whole when they have 200 bytes. A
     null text counts as empty, an empty or short text loses nothing, ids are
     not looked at (null or repeated ids do no harm), an empty table gives an
-    empty result and other columns pass through. __kept is null for texts that
-    stay as they are.
+    empty result and other columns pass through. kept_sha256 is of the bytes
+    left; kept_text is those bytes without characters that a cut left in part,
+    and null where the text stays as it is.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     cut = scratch.write(repeated_spans(docs, text_col, scratch), "cut")
@@ -385,15 +386,17 @@ def deduplicated(docs: DataFrame, text_col: str = "text") -> DataFrame:
     size = F.octet_length(text).cast("long")
     keyed = _keyed(docs, text_col).withColumns({"__n_bytes": size, "__whole": F.sha2(text, 256)})
     copied = _keyed(docs.select(text_col), text_col).where(size >= WINDOW).groupBy("__k1", "__k2").agg(F.count("*").alias("__copies")).where("__copies > 1")
-    cut = cut.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "kept": "__cut", "n_removed": "__cut_bytes", "n_spans": "__cut_spans", "kept_sha256": "__cut_sha"})
+    cut = cut.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "kept_text": "__cut", "n_removed": "__cut_bytes", "spans": "__cut_spans", "kept_sha256": "__cut_sha"})
     outcome = cut.join(copied, ["__k1", "__k2"], "full")
     joined = keyed.join(outcome, ["__k1", "__k2"], "left")
     gone = F.col("__copies").isNotNull()
+    spans = F.when(gone, F.array(F.lit(0).cast("long"), F.col("__n_bytes"))).otherwise(F.coalesce("__cut_spans", F.array().cast("array<long>")))
     return joined.withColumns(
         {
             "__n_removed": F.when(gone, F.col("__n_bytes")).otherwise(F.coalesce("__cut_bytes", F.lit(0))),
-            "__n_spans": F.when(gone, F.lit(1)).otherwise(F.coalesce("__cut_spans", F.lit(0))).cast("long"),
-            "__kept": F.when(gone, F.lit(b"")).otherwise(F.col("__cut")),
+            "__spans": spans,
+            "__n_spans": (F.size(spans) / 2).cast("long"),
+            "__kept_text": F.when(gone, F.lit("")).otherwise(F.col("__cut")),
             "__kept_sha256": F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("__cut_sha", "__whole")),
         }
     ).drop("__k1", "__k2", "__whole", "__copies", "__cut", "__cut_bytes", "__cut_spans", "__cut_sha")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provscan.llm import bpe, packing, preferences, sharding, simhash, suffix, toxicity, urls
+from provscan.llm import avi, bpe, packing, preferences, sharding, simhash, suffix, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.round_trips(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), word_vocabulary()).withColumnRenamed("id", "doc_id")
 
@@ -69,7 +73,7 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "prompt", "prompt_turns", "chosen", spans("chosen_mask"), "rejected", spans("rejected_mask"))
 
 
-QUERIES = {"op2_best_fit": op2_best_fit, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_hash_tree": op5_hash_tree, "op6_toxicity": op6_toxicity, "op8_url_filter": op8_url_filter, "op9_suffix": op9_suffix, "op10_preferences": op10_preferences}
+QUERIES = {"op1_motion_jpeg": op1_motion_jpeg, "op2_best_fit": op2_best_fit, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_hash_tree": op5_hash_tree, "op6_toxicity": op6_toxicity, "op8_url_filter": op8_url_filter, "op9_suffix": op9_suffix, "op10_preferences": op10_preferences}
 
 _ORACLE_10 = """
 WITH t AS (

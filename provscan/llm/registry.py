@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provscan.llm import avi, bpe, packing, preferences, sharding, simhash, suffix, toxicity, urls
+from provscan.llm import avi, bpe, hnsw, packing, preferences, sharding, simhash, suffix, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -73,7 +78,7 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "prompt", "prompt_turns", "chosen", spans("chosen_mask"), "rejected", spans("rejected_mask"))
 
 
-QUERIES = {"op1_motion_jpeg": op1_motion_jpeg, "op2_best_fit": op2_best_fit, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_hash_tree": op5_hash_tree, "op6_toxicity": op6_toxicity, "op8_url_filter": op8_url_filter, "op9_suffix": op9_suffix, "op10_preferences": op10_preferences}
+QUERIES = {"op1_motion_jpeg": op1_motion_jpeg, "op2_best_fit": op2_best_fit, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_hash_tree": op5_hash_tree, "op6_toxicity": op6_toxicity, "op7_hnsw": op7_hnsw, "op8_url_filter": op8_url_filter, "op9_suffix": op9_suffix, "op10_preferences": op10_preferences}
 
 _ORACLE_10 = """
 WITH t AS (

@@ -37,7 +37,7 @@ def listed_tokens(raw: Column) -> Column:
 
 def _hex(n: Column) -> Column:
     """16 hexadecimal digits of a decimal from 0 to 2**64 - 1; null outside."""
-    return F.when((n >= 0) & (n < F.lit(2**63).cast("decimal(20,0)") * 2), F.lpad(F.conv(n.cast("string"), 10, 16), 16, "0"))
+    return F.when((n >= 0) & (n <= F.lit("18446744073709551615").cast("decimal(20,0)")), F.lpad(F.conv(n.cast("string"), 10, 16), 16, "0"))
 
 
 def key_bytes(raw: str) -> bytes:

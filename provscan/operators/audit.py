@@ -112,7 +112,11 @@ def summary(items: DataFrame) -> DataFrame:
         "with_suspicious_text": F.col("suspicious_total") > 0,
         "actionable_files": is_actionable(F.col("has_c2pa"), F.col("findings")),
     }
-    levels = [F.coalesce(F.sum(F.when(read, F.size(F.filter("findings", lambda f, c=c: f["confidence"] == c)))), F.lit(0)) for c in formats.CONFIDENCES]
+
+    def held(level: str) -> Column:
+        return F.coalesce(F.sum(F.when(read, F.size(F.filter("findings", lambda f: f["confidence"] == level)))), F.lit(0))
+
+    levels = [held(c) for c in formats.CONFIDENCES]
     totals = items.agg(
         F.count_if(read).alias("total"),
         F.count_if(~read).alias("skipped"),

@@ -1,4 +1,6 @@
 """All queries of the engine by name, with their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from provscan.plans.oracles import ORACLES
+from provscan.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -60,6 +60,9 @@ FORMAT = frozenset(c for c in range(0x110000) if unicodedata.category(chr(c)) ==
 HARD = STRIPPED | FORMAT | {ESCAPE}
 SUSPECT = HARD | SPACES | DASHES
 
+#: Blocks of everyday text; what is suspect in them is taken out where they are used.
+USUAL = members("9-D 20-7E A1-5FF 900-DFF 1E00-1FFF 2010-206F 20A0-20CF 2100-214F 2190-21FF 3001-30FF 4E00-9FFF AC00-D7A3 FF00-FFEF")
+
 #: Lookalikes of Latin letters: Cyrillic, and full-width forms.
 CONFUSABLES = dict(zip(map(ord, "\u0410\u0412\u0415\u041a\u041c\u041d\u041e\u0420\u0421\u0422\u0425\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456"), "ABEKMHOPCTXaeopcyxi")) | {0xFF21 + i: chr(65 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
 

@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provscan.sources.tables import read_table
+
 PHRASES = "\n\nIt is important to note that we delve into a rich tapestry of ideas. Furthermore, as an AI I hope this helps.\n"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A fixture table; ``columns`` are selected before a small table is spread over the cores."""
+    return read_table(spark, f"{sf_dir}/{name}.parquet", list(columns) or None)
 
 
 def planted_text(key: Column, text: Column) -> Column:
@@ -33,7 +36,7 @@ def planted_text(key: Column, text: Column) -> Column:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with planted text."""
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", planted_text(F.col("doc_id"), F.col("text")).alias("text"))
+    return table(spark, sf_dir, "documents", "doc_id", "lang", "source", "text").select("doc_id", "lang", "source", planted_text(F.col("doc_id"), F.col("text")).alias("text"))
 
 
 _Q = PHRASES.replace("\n", "' || chr(10) || '")
@@ -166,7 +169,7 @@ def files(spark: SparkSession, sf_dir: str, kinds: list[tuple]) -> DataFrame:
         return pa.array([None if i is None else blobs[i % len(blobs)] for i in ids.to_pylist()], pa.binary())
 
     which = F.array(*map(F.lit, names))[(F.col("doc_id") % len(names)).cast("int")]
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("dir/"), F.col("doc_id").cast("string"), F.lit("-"), which).alias("path"), F.arrow_udf(build, "binary")(F.col("doc_id")).alias("content"))
+    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.concat(F.lit("dir/"), F.col("doc_id").cast("string"), F.lit("-"), which).alias("path"), F.arrow_udf(build, "binary")(F.col("doc_id")).alias("content"))
 
 
 def expected(kinds: list[tuple]) -> str:

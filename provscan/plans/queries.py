@@ -125,7 +125,7 @@ _STYLE_TAIL = "\n\nLet's delve into this. It's worth noting that it works. Here'
 
 def _styled(spark: SparkSession, d: str) -> DataFrame:
     tail = F.when(F.col("doc_id") % 4 == 0, F.lit(_STYLE_TAIL)).otherwise("")
-    return P.table(spark, d, "documents").select("doc_id", "source", F.concat(F.coalesce("text", F.lit("")), tail).alias("text"))
+    return P.table(spark, d, "documents", "doc_id", "source", "text").select("doc_id", "source", F.concat(F.coalesce("text", F.lit("")), tail).alias("text"))
 
 
 @query
@@ -149,7 +149,7 @@ def style_score(spark: SparkSession, d: str) -> DataFrame:
     signal = lambda n, s: F.struct(F.lit(n).alias("name"), F.lit(s).alias("severity"))
     pick = lambda m, x: F.when(F.col("doc_id") % m == 0, x)
     signals = F.array_compact(F.array(pick(2, signal("bold_lead_in", "medium")), pick(3, signal("worth_noting", "low")), pick(5, signal("type_token_ratio", "high")), pick(7, signal("worth_noting", "high"))))
-    return P.table(spark, d, "documents").select("doc_id", style.score(signals).alias("score"), F.size(style.at_severity(signals, "medium")).cast("long").alias("shown"))
+    return P.table(spark, d, "documents", "doc_id").select("doc_id", style.score(signals).alias("score"), F.size(style.at_severity(signals, "medium")).cast("long").alias("shown"))
 
 
 @query
@@ -177,7 +177,7 @@ def naturalize_report(spark: SparkSession, d: str) -> DataFrame:
 def naturalize_tail(spark: SparkSession, d: str) -> DataFrame:
     """Edits of a planted sentence [N8, N9, N10, N11, N12]."""
     told = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("In today's fast-paced world, we delve into item "), F.col("doc_id").cast("string"), F.lit(". Perhaps maybe it works. It's worth noting that it does."))).otherwise("Plain words.")
-    rows = P.table(spark, d, "documents").select("doc_id", naturalize.naturalize(told).alias("n"))
+    rows = P.table(spark, d, "documents", "doc_id").select("doc_id", naturalize.naturalize(told).alias("n"))
     return rows.select("doc_id", F.col("n.text").alias("text"), F.size("n.edits").cast("long").alias("edits"))
 
 
@@ -187,7 +187,7 @@ def naturalize_tail(spark: SparkSession, d: str) -> DataFrame:
 @query
 def gumbel_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Simple tokens as ids [D1]."""
-    rows = P.table(spark, d, "documents").select("doc_id", watermark.simple_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = P.table(spark, d, "documents", "doc_id", "text").select("doc_id", watermark.simple_tokens(F.coalesce("text", F.lit(""))).alias("t"))
     return rows.select("doc_id", F.size("t").cast("long").alias("tokens"), F.lower(F.hex(F.get("t", F.lit(0)))).alias("first_id"), F.lower(F.hex(F.get("t", F.size("t") - 1))).alias("last_id"))
 
 
@@ -195,14 +195,14 @@ def gumbel_tokens(spark: SparkSession, d: str) -> DataFrame:
 def gumbel_positions(spark: SparkSession, d: str) -> DataFrame:
     """Positions that the replay test counts and skips [D4, D6]."""
     text = F.coalesce("text", F.lit(""))
-    rows = P.table(spark, d, "documents").select("doc_id", watermark.detect_ids(watermark.simple_tokens(text), "fixture-key").alias("r"))
+    rows = P.table(spark, d, "documents", "doc_id", "text").select("doc_id", watermark.detect_ids(watermark.simple_tokens(text), "fixture-key").alias("r"))
     return rows.select("doc_id", *(F.col(f"r.{n}").cast("long").alias(n) for n in ("tokens_total", "skipped_no_context", "skipped_repeated", "counted")))
 
 
 @query
 def gumbel_report(spark: SparkSession, d: str) -> DataFrame:
     """The test's statistic and verdict, beside detectors that can't run here [D2, D3, D5, D6, D7, D9, H4, H5, R9]."""
-    rows = P.table(spark, d, "documents").select("doc_id", watermark.detect(F.coalesce("text", F.lit("")), gumbel={"key": "fixture-key"}).alias("r"))
+    rows = P.table(spark, d, "documents", "doc_id", "text").select("doc_id", watermark.detect(F.coalesce("text", F.lit("")), gumbel={"key": "fixture-key"}).alias("r"))
     return rows.select("doc_id", "r.gumbel.p_value", "r.gumbel.score", "r.gumbel.is_watermarked", F.col("r.vendor.available").alias("vendor_available"), F.col("r.model_watermark.reason").alias("model_reason"))
 
 
@@ -211,7 +211,7 @@ def token_id_input(spark: SparkSession, d: str) -> DataFrame:
     """Token ids from JSON and from lines [S12]."""
     i = F.col("doc_id").cast("string")
     raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("["), i, F.lit(", 18446744073709551615, 7]"))).otherwise(F.concat(i, F.lit("\n\n0xff\n")))
-    return P.table(spark, d, "documents").select("doc_id", watermark.listed_tokens(raw).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.lower(F.hex(F.get("t", F.lit(0)))).alias("first_id"), F.lower(F.hex(F.get("t", F.lit(1)))).alias("second_id"))
+    return P.table(spark, d, "documents", "doc_id").select("doc_id", watermark.listed_tokens(raw).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.lower(F.hex(F.get("t", F.lit(0)))).alias("first_id"), F.lower(F.hex(F.get("t", F.lit(1)))).alias("second_id"))
 
 
 # --- routing -----------------------------------------------------------------------------------
@@ -229,14 +229,14 @@ def _pick(values: list, key: str = "doc_id"):
 @query
 def classify_paths(spark: SparkSession, d: str) -> DataFrame:
     """Kinds by extension, with a document's bytes for the rest [R1]."""
-    rows = P.table(spark, d, "documents").select("doc_id", F.concat(F.lit("a.dir/f"), F.col("doc_id").cast("string"), F.lit("."), _pick(_SUFFIXES)).alias("path"), F.col("text").cast("binary").alias("content"))
+    rows = P.table(spark, d, "documents", "doc_id", "text").select("doc_id", F.concat(F.lit("a.dir/f"), F.col("doc_id").cast("string"), F.lit("."), _pick(_SUFFIXES)).alias("path"), F.col("text").cast("binary").alias("content"))
     return rows.select("doc_id", formats.classify(F.col("path"), F.col("content")).alias("kind"))
 
 
 @query
 def classify_magic(spark: SparkSession, d: str) -> DataFrame:
     """Kinds and formats by magic bytes [R1, R2, R3, R4]."""
-    rows = P.table(spark, d, "documents").select("doc_id", _pick(_HEADS).alias("content"))
+    rows = P.table(spark, d, "documents", "doc_id").select("doc_id", _pick(_HEADS).alias("content"))
     fmt = F.coalesce(formats.image_format(F.col("content")), formats.av_format(F.col("content")))
     return rows.select("doc_id", fmt.alias("format"), formats.classify(F.lit("noext"), F.col("content")).alias("kind"))
 
@@ -245,7 +245,7 @@ def classify_magic(spark: SparkSession, d: str) -> DataFrame:
 def looks_binary(spark: SparkSession, d: str) -> DataFrame:
     """Why bytes are no text [R6, S1]."""
     content = F.when(F.col("doc_id") % 4 == 0, _pick(_HEADS)).when(F.col("doc_id") % 4 == 1, F.concat(F.col("text").cast("binary"), F.lit(b"\0"))).when(F.col("doc_id") % 4 == 2, F.lit(b"\1\2\3\4abcdefgh")).otherwise(F.substring(F.concat(F.lit("t "), "text"), 1, 500).cast("binary"))
-    rows = P.table(spark, d, "documents").select("doc_id", F.substring(content, 1, 600).alias("content"))
+    rows = P.table(spark, d, "documents", "doc_id", "text").select("doc_id", F.substring(content, 1, 600).alias("content"))
     return rows.select("doc_id", formats.looks_binary(F.col("content")).alias("reason"))
 
 
@@ -255,7 +255,7 @@ _FINDINGS = ["PNG chunk caBX (possible C2PA container)", "info: cms generator: x
 @query
 def finding_confidence(spark: SparkSession, d: str) -> DataFrame:
     """How strong findings are, in rule order [R7]."""
-    rows = P.table(spark, d, "documents").select("doc_id", _pick(_FINDINGS).alias("finding"))
+    rows = P.table(spark, d, "documents", "doc_id").select("doc_id", _pick(_FINDINGS).alias("finding"))
     return rows.select("doc_id", formats.finding_confidence(F.col("finding")).alias("confidence"))
 
 
@@ -270,7 +270,7 @@ def guess_kind(spark: SparkSession, d: str) -> DataFrame:
 @query
 def url_origins(spark: SparkSession, d: str) -> DataFrame:
     """Pages by origin [S10]."""
-    return P.table(spark, d, "pages").select(S.origin(F.col("url")).alias("origin")).groupBy("origin").agg(F.count("*").alias("pages"))
+    return P.table(spark, d, "pages", "url").select(S.origin(F.col("url")).alias("origin")).groupBy("origin").agg(F.count("*").alias("pages"))
 
 
 @query
@@ -279,7 +279,7 @@ def sitemap_pages(spark: SparkSession, d: str) -> DataFrame:
     loc = lambda u: F.concat(F.lit("<url><loc>"), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
     url = F.col("url")
     xml = F.concat(F.lit('<urlset xmlns="x">'), loc(url), loc(url), loc(F.lit("https://elsewhere.invalid/a")), F.lit("</urlset>"))
-    rows = P.table(spark, d, "pages").select("url", xml.cast("binary").alias("content"))
+    rows = P.table(spark, d, "pages", "url").select("url", xml.cast("binary").alias("content"))
     return S.sitemap_pages(rows.distinct())
 
 
@@ -330,7 +330,7 @@ def load_files(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("\ufeff"), F.coalesce("text", F.lit("")))
     content = F.when(F.col("doc_id") % 4 == 0, text.cast("binary")).when(F.col("doc_id") % 4 == 1, F.lit("café déjà vu").cast("binary")).when(F.col("doc_id") % 4 == 2, F.lit(b"caf\xe9 d\xe9j\xe0 vu")).otherwise(F.lit(b"a\0b"))
     path = F.concat(F.lit("f."), _pick(["txt", "md", "txt", "md", "exe"]))
-    rows = P.table(spark, d, "documents").select("doc_id", S.load(path, content).alias("r"))
+    rows = P.table(spark, d, "documents", "doc_id", "text").select("doc_id", S.load(path, content).alias("r"))
     return rows.select("doc_id", F.sha2("r.text", 256).alias("text_sha256"), F.col("r.skip_reason").alias("skip_reason"), F.size("r.notes").cast("long").alias("notes"))
 
 
@@ -413,7 +413,7 @@ def pair_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query
 def benchmark_by_variant(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark rows by variant [B5, B6, B7, B8, B9, H13]."""
-    grid = pairwise.variants(P.table(spark, d, "documents").select("doc_id", "text"), [1, 2], ["a:1", "b:2"], restamp=True)
+    grid = pairwise.variants(P.table(spark, d, "documents", "doc_id", "text"), [1, 2], ["a:1", "b:2"], restamp=True)
     k = F.col("doc_id") * 7 + F.col("seed") * 3 + F.col("variant_order") * 5
     before = (k % 4 > 0) & pairwise.gate(F.col("text"), F.lit(True)).isNull()
     rows = grid.select(
@@ -433,13 +433,13 @@ def benchmark_by_variant(spark: SparkSession, d: str) -> DataFrame:
 @query
 def corpus_effect(spark: SparkSession, d: str) -> DataFrame:
     """Effect size, interval, verdict and AUC of two labelled sides [C1, C2, C3, C4, C5, H10]."""
-    rows = P.table(spark, d, "labels").join(P.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    rows = P.table(spark, d, "labels").join(P.table(spark, d, "documents", "doc_id", "n_chars"), "doc_id")
     e = corpus.effect(rows, "quality", "n_chars", 0, 1)
     return e.select("n1", "n2", *(F.round(c, 6).alias(c) for c in ("mean1", "mean2", "median1", "median2", "cohens_d", "d_low", "d_high", "auc")), "verdict", "enough")
 
 
 def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = P.table(spark, d, "documents")
+    docs = P.table(spark, d, "documents", "doc_id")
     score = lambda m: F.round((F.col("doc_id") * m % 97) / 97.0, 4)
     signal = lambda n, s: F.struct(F.lit(n).alias("name"), F.lit(1.0).cast("double").alias("value"), F.lit(s).alias("severity"))
     pick = lambda m, x: F.when(F.col("doc_id") % m == 0, x)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provscan.llm import avi, bpe, hnsw, packing, preferences, sharding, simhash, suffix, toxicity, urls
+from provscan.sources.tables import read_table
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return read_table(spark, f"{sf_dir}/{name}.parquet", list(columns) or None)
 
 
 def word_vocabulary() -> str:
@@ -20,15 +21,15 @@ def word_vocabulary() -> str:
 
 
 def op1_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return avi.round_trips(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return avi.round_trips(_table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(_table(spark, sf_dir, "documents"), word_vocabulary()).withColumnRenamed("id", "doc_id")
+    return packing.packed_documents(_table(spark, sf_dir, "documents", "doc_id", "text"), word_vocabulary()).withColumnRenamed("id", "doc_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select(
         F.col("id").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -37,32 +38,32 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(_table(spark, sf_dir, "documents"), word_vocabulary()).withColumnRenamed("id", "doc_id")
+    return bpe.digests(_table(spark, sf_dir, "documents", "doc_id", "text"), word_vocabulary()).withColumnRenamed("id", "doc_id")
 
 
 def op5_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.assign(_table(spark, sf_dir, "documents"), sharding.topology(8), sharding.topology(9))
+    placed = sharding.assign(_table(spark, sf_dir, "documents", "doc_id", "text"), sharding.topology(8), sharding.topology(9))
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     found = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _table(spark, sf_dir, "embeddings")
+    vectors = _table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return hnsw.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+    return urls.judge(_table(spark, sf_dir, "pages", "page_id", "url")).withColumnRenamed("id", "page_id")
 
 
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = suffix.deduplicated(_table(spark, sf_dir, "documents", "doc_id", "text"))
     names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
     return found.select("doc_id", *(F.col(f"__{c}").alias(c) for c in names))
 

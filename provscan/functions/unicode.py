@@ -220,7 +220,8 @@ def inspect(text: Column, confusables: bool = False, emoji_glue: bool = False) -
 
 def spaced_dashes(text: Column) -> Column:
     """U+2014 and U+2015 between horizontal white space become a comma and a space."""
-    return F.regexp_replace(text, "(?U)" + _DASH_GAP, ", ")
+    found = text.contains("\u2014") | text.contains("\u2015")
+    return F.when(found, F.regexp_replace(text, "(?U)" + _DASH_GAP, ", ")).otherwise(text)
 
 
 def plain_dashes(text: Column) -> Column:
@@ -230,7 +231,9 @@ def plain_dashes(text: Column) -> Column:
 def plain_spaces(text: Column) -> Column:
     """Space lookalikes become U+0020; a blank cell beside other braille stays."""
     others = "".join(map(chr, sorted(cp.SPACES - {cp.BRAILLE_BLANK})))
-    return F.regexp_replace(F.translate(text, others, " " * len(others)), "(?<![\u2801-\u28ff])\u2800(?![\u2801-\u28ff])", " ")
+    plain = F.translate(text, others, " " * len(others))
+    lone = "(?<![\u2801-\u28ff])\u2800(?![\u2801-\u28ff])"
+    return F.when(text.contains("\u2800"), F.regexp_replace(plain, lone, " ")).otherwise(plain)
 
 
 def latin_letters(text: Column) -> Column:

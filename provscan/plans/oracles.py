@@ -196,4 +196,18 @@ SELECT x.n AS signal, count_if(list_contains(bs, x.n)) AS files_before, count_if
 
 ORACLES["stream_event_windows"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 ORACLES["stream_inspect"] = f"SELECT doc_id, CAST(length(text) - length(replace(replace(replace(text, chr(8203), ''), chr(160), ''), chr(8212), '')) AS BIGINT) AS suspicious FROM {P.DOCS}"
+
+
+def _counted(sql: str) -> str:
+    """``sql`` with each count_if(x), a HUGEINT, as count(CASE WHEN x THEN 1 END)."""
+    while (at := sql.find("count_if(")) >= 0:
+        depth, end = 1, at + 9
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(CASE WHEN {sql[at + 9 : end - 1]} THEN 1 END){sql[end:]}"
+    return sql
+
+
+ORACLES = {name: _counted(sql) for name, sql in ORACLES.items()}
 assert set(ORACLES) <= set(Q.QUERIES), re.sub(r"[{}]", "", str(set(ORACLES) - set(Q.QUERIES)))

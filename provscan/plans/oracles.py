@@ -154,6 +154,7 @@ SELECT rule_id, level, CAST(sum(n) AS BIGINT) AS results FROM r GROUP BY ALL HAV
 _ALL = P.IMAGES + P.AV + P.CONTAINERS
 ORACLES["audit_files"] = f"""SELECT e.format AS kind, count(*) AS files, count_if(e.has_c2pa) AS with_c2pa, count_if(e.has_ai) AS with_ai
 FROM documents JOIN (VALUES {P.expected(_ALL)}) e(k, name, format, has_c2pa, has_ai) ON doc_id % {len(_ALL)} = e.k GROUP BY 1"""
+ORACLES["strip_report"] = f"SELECT doc_id, FALSE AS still_c2pa, e.has_ai AND e.format = 'pdf' AS still_ai, TRUE AS told FROM documents JOIN (VALUES {P.expected(_ALL)}) e(k, name, format, has_c2pa, has_ai) ON doc_id % {len(_ALL)} = e.k"
 ORACLES["audit_website"] = f"WITH {ITEMS} SELECT 'html' AS kind, count(*) AS pages, count_if(c2pa) AS with_c2pa, count_if(ai) AS with_ai FROM p"
 ORACLES["audit_status"] = f"WITH {ITEMS} SELECT CAST(CASE WHEN (SELECT count_if(strong > 0) FROM t) + (SELECT count_if(ai) FROM p) > 0 THEN 1 ELSE 0 END AS BIGINT) AS status"
 

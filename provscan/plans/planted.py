@@ -144,7 +144,7 @@ AV = [
     ("e.wav", riff(b"WAVE", (b"data", b"\0\0")), "wav", False, False),
 ]
 CONTAINERS = [
-    ("a.docx", zipped(**{"word/document.xml": "OpenAI in the body", "docProps/app.xml": "Generated by Claude"}), "docx", False, True),
+    ("a.docx", zipped(**{"word/document.xml": "OpenAI in the body", "docProps/app.xml": "<Application>Generated by Claude</Application>"}), "docx", False, True),
     ("b.docx", zipped(**{"word/document.xml": "OpenAI in the body"}), "docx", False, False),
     ("c.xlsx", zipped(**{"xl/workbook.xml": "x", "xl/media/a.png": png((b"caBX", b"m"))}), "xlsx", True, True),
     ("d.pptx", zipped(**{"ppt/presentation.xml": "x", "customXml/item1.xml": "x"}), "pptx", False, False),

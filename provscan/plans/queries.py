@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from provscan.functions import cadence, formats, naturalize, style, watermark
+from provscan.functions import cadence, formats, naturalize, strip, style, watermark
 from provscan.functions import unicode as U
 from provscan.operators import audit, corpus, pairwise
 from provscan.plans import planted as P
@@ -318,6 +318,15 @@ def container_inspect(spark: SparkSession, d: str) -> DataFrame:
     return _inspected(spark, d, P.CONTAINERS, "container")
 
 
+@query
+def strip_report(spark: SparkSession, d: str) -> DataFrame:
+    """Opt-in removal of metadata, inspected again [F19, F20, F21, F22, F23, H18, H19]."""
+    rows = P.files(spark, d, P.IMAGES + P.AV + P.CONTAINERS)
+    done = strip.strip(formats.kind_by_suffix(F.col("path")), formats.suffix(F.col("path")), F.col("content"))
+    rows = rows.select("doc_id", done.alias("r"))
+    return rows.select("doc_id", F.col("r.still_has_c2pa").alias("still_c2pa"), F.col("r.still_has_ai_metadata").alias("still_ai"), (F.size("r.actions") > 0).alias("told"))
+
+
 @query
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     """Text of pages [S5]."""

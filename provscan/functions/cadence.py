@@ -35,7 +35,7 @@ def sentences_of(text: str) -> list[str]:
             fenced = not fenced
         elif line and not fenced:
             lines.append(line)
-    return [s for s in map(str.strip, re.split(r"(?<=[.!?])\s+|\n+", "\n".join(lines))) if s]
+    return [s for s in map(str.strip, re.split(r"\n+|(?<=[?!.])\s+", "\n".join(lines))) if s]
 
 
 def moving_ratio(words: list[str], window: int = WINDOW) -> float:
@@ -57,9 +57,10 @@ def burstiness(lengths: list[int]) -> tuple[int, float, float | None]:
     lengths = [x for x in lengths if x]
     if len(lengths) < 2:
         return len(lengths), float(lengths[0]) if lengths else 0.0, None
-    mean = sum(lengths) / len(lengths)
-    variance = sum((x - mean) ** 2 for x in lengths) / (len(lengths) - 1)
-    return len(lengths), mean, variance**0.5 / mean
+    n, total = len(lengths), sum(lengths)
+    mean = total / n
+    squares = sum((x - mean) ** 2 for x in lengths)
+    return n, mean, (squares / (n - 1)) ** 0.5 / mean
 
 
 _COUNTS_ARROW = [("word_count", pa.int32()), ("sentence_count", pa.int32()), ("measured", pa.int32()), ("mean", pa.float64()), ("burstiness_cv", pa.float64()), ("lexical_diversity", pa.float64()), ("en", pa.int32()), ("pt", pa.int32())]

@@ -41,15 +41,15 @@ FRONT_KEYS = frozenset(
     "generator ai ai_generated ai-generated claude anthropic openai gemini synthid c2pa content_credentials contentcredentials "
     "provenance digital_source_type digitalsourcetype created_with createdwith model llm".split()
 )
-META_NAMES = "generator|ai[-_ ]?generated|claude|anthropic|openai|gemini|synthid|c2pa|content.?credential|provenance|digital.?source|aigc"
-VENDORS = "claude|anthropic|openai|chatgpt|gemini|synthid|copilot|midjourney|dall.?e|stable.?diffusion"
+META_NAMES = "|".join("generator ai[-_\x20]?generated claude anthropic openai gemini synthid c2pa content.?credential provenance digital.?source aigc".split())
+VENDORS = "|".join("claude anthropic openai gemini synthid chatgpt copilot midjourney dall.?e stable.?diffusion".split())
 SOURCE_FIELDS = "DigitalSourceType|trainedAlgorithmicMedia|SoftwareAgent"
 XMP_BOX = bytes.fromhex("be7acfcb97a942e89c719994 91e3afac")
 ZIP_BUDGET = 128 << 20
 Found = tuple[bool, bool, list[str]]
-_ZIP_ERRORS = (zipfile.BadZipFile, zipfile.LargeZipFile, NotImplementedError, RuntimeError, EOFError, OSError, ValueError, zlib.error)
+_ZIP_ERRORS = (ValueError, OSError, EOFError, RuntimeError, NotImplementedError, zlib.error, zipfile.LargeZipFile, zipfile.BadZipFile)
 
-# --- routing -----------------------------------------------------------------------------------
+# routing:
 
 
 def suffix(path: Column) -> Column:
@@ -111,33 +111,33 @@ def _zip_format(content: Column) -> Column:
     return F.arrow_udf(run, "string")(content)
 
 
-BINARY_HEADS = [
-    *((h, "a ZIP container (DOCX, ODT, XLSX, PPTX, EPUB, JAR)") for h in (b"PK\3\4",)),
-    (b"PK\5\6", "an empty ZIP container"),
-    (b"PK\7\b", "a spanned ZIP container"),
-    (b"%PDF-", "a PDF"),
-    (b"\x89PNG\r\n\x1a\n", "a PNG image"),
-    (b"\xff\xd8\xff", "a JPEG image"),
-    *((h, "a GIF image") for h in (b"GIF87a", b"GIF89a")),
-    (b"BM", "a BMP image"),
-    *((h, "a TIFF image") for h in (b"II*\0", b"MM\0*")),
-    (b"RIFF", "a RIFF container (WEBP, WAV, AVI)"),
-    (b"OggS", "an Ogg media file"),
-    (b"\x1f\x8b", "a gzip archive"),
-    (b"BZh", "a bzip2 archive"),
-    (b"\xfd7zXZ\0", "an xz archive"),
-    (bytes.fromhex("377abcaf271c"), "a 7-Zip archive"),
-    (b"Rar!\x1a\7", "a RAR archive"),
-    (b"\x7fELF", "an ELF binary"),
-    (bytes.fromhex("cafebabe"), "a Java class or Mach-O fat binary"),
-    (bytes.fromhex("d0cf11e0a1b11ae1"), "a legacy Office document (.doc, .xls, .ppt)"),
-    (b"SQLite format 3\0", "a SQLite database"),
-    (b"8BPS", "a Photoshop document"),
-    (b"wOFF", "a WOFF font"),
-    (b"wOF2", "a WOFF2 font"),
-    (b"\0\1\0\0\0", "a TrueType font"),
-    (b"OTTO", "an OpenType font"),
-]
+#: Heads of binary files in hexadecimal, and what they are.
+_HEADS = """
+504b0304 = a ZIP container (Office, ODT, EPUB, JAR)
+504b0506 = a ZIP container without entries
+504b0708 = a spanned ZIP container
+255044462d = a PDF
+89504e470d0a1a0a = a PNG image
+ffd8ff = a JPEG image
+474946383761 474946383961 = a GIF image
+424d = a BMP image
+49492a00 4d4d002a = a TIFF image
+52494646 = a RIFF file (WebP, WAV or AVI)
+4f676753 = an Ogg file
+1f8b = gzip data
+425a68 = bzip2 data
+fd377a585a00 = xz data
+377abcaf271c = a 7z archive
+526172211a07 = a RAR archive
+7f454c46 = an ELF program
+cafebabe = Java classes or a fat Mach-O program
+d0cf11e0a1b11ae1 = an Office document in the old binary format
+53514c69746520666f726d6174203300 = an SQLite database
+38425053 = a Photoshop file
+774f4646 774f4632 = a web font
+0001000000 4f54544f = a font
+"""
+BINARY_HEADS = [(bytes.fromhex(h), what) for line in _HEADS.strip().splitlines() for heads, _, what in [line.partition(" = ")] for h in heads.split()]
 
 
 def looks_binary(content: Column) -> Column:
@@ -153,16 +153,21 @@ def looks_binary(content: Column) -> Column:
     return out.when(share > 0.05, "binary data (dense in control bytes)")
 
 
+def _table(spec: str, prefix: str = "") -> dict[str, str]:
+    """'a+b:kind' as {prefix + a: kind, prefix + b: kind}."""
+    return {prefix + k: kind for part in spec.split() for keys, _, kind in [part.rpartition(":")] for k in keys.split("+")}
+
+
+_OFFICE = "vnd.openxmlformats-officedocument."
 CONTENT_TYPES = {
-    "image/png": "png", "image/jpeg": "jpeg", "application/pdf": "pdf", "text/plain": "text", "image/webp": "webp", "image/avif": "avif", "image/heic": "heic",
-    "image/heif": "heic", "image/gif": "gif", "image/bmp": "bmp", "image/tiff": "tiff", "application/epub+zip": "epub", "video/mp4": "mp4", "video/quicktime": "mp4",
-    "audio/x-m4a": "mp4", "audio/mp4": "mp4", "audio/wav": "wav", "audio/x-wav": "wav", "audio/mpeg": "mp3", "audio/mp3": "mp3",
-    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx", "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx",
-}
-URL_KINDS = {
-    "png": "png", "jpg": "jpeg", "jpeg": "jpeg", "webp": "webp", "avif": "avif", "heic": "heic", "heif": "heic", "gif": "gif", "bmp": "bmp", "tiff": "tiff", "tif": "tiff", "svg": "svg", "pdf": "pdf", "docx": "docx",
-    "xlsx": "xlsx", "pptx": "pptx", "odt": "odt", "epub": "epub", "md": "markdown", "markdown": "markdown", "html": "html", "htm": "html", "mp4": "mp4", "mov": "mp4", "m4a": "mp4", "m4v": "mp4", "wav": "wav", "mp3": "mp3",
-}
+    **_table("png:png jpeg:jpeg webp:webp avif:avif heic~heif:heic gif:gif bmp:bmp tiff:tiff".replace("~", "+"), "image/"),
+    **_table(f"pdf:pdf epub_zip:epub {_OFFICE}spreadsheetml.sheet:xlsx {_OFFICE}presentationml.presentation:pptx", "application/"),
+    **_table("mp4+quicktime:mp4", "video/"),
+    **_table("x-m4a+mp4:mp4 wav+x-wav:wav mpeg+mp3:mp3", "audio/"),
+    **_table("plain:text", "text/"),
+}
+CONTENT_TYPES["application/epub+zip"] = CONTENT_TYPES.pop("application/epub_zip")
+URL_KINDS = _table("png:png jpg+jpeg:jpeg webp:webp avif:avif heic+heif:heic gif:gif bmp:bmp tiff+tif:tiff svg:svg pdf:pdf docx:docx xlsx:xlsx pptx:pptx odt:odt epub:epub md+markdown:markdown html+htm:html mp4+mov+m4a+m4v:mp4 wav:wav mp3:mp3")
 
 
 def _look_up(table: dict[str, str], key: Column) -> Column:
@@ -179,9 +184,9 @@ def guess_kind(url: Column, content: Column, content_type: Column | None = None)
     return F.coalesce(typed, _look_up(CONTENT_TYPES, ct), _look_up(URL_KINDS, suffix(path)), magic, F.lit("text"))
 
 
-CONFIRMED = ["c2patool reports", "c2pa-related manifest", *(f"png chunk {x}" for x in ("c2", "cabx", "jumb", "jumd")), "jpeg app11 segment", "digital_source_type", "digitalsourcetype", "trainedalgorithmicmedia", "compositewithtrainedalgorithmicmedia", "softwareagent"]
-CONTEXT_ONLY = ["cms generator", "customxml parts", "xmp packet present", "unsupported", "not fully inspected", "format not", "svg <metadata> present", "not a valid", "truncated chunk", "bad segment length", "svg decode note"]
-PROBABLE = ["ai:", "marker:", "meta:", "frontmatter", "json-ld", "attr:", "png ", "jpeg app", "exif", "xmp", "interesting", "pdf-structured", "layer-a"]
+CONFIRMED = "c2patool reports|c2pa-related manifest|png chunk c2|png chunk cabx|png chunk jumb|png chunk jumd|jpeg app11 segment|digital_source_type|digitalsourcetype|trainedalgorithmicmedia|softwareagent".split("|")
+CONTEXT_ONLY = "cms generator|customxml parts|xmp packet present|unsupported|not fully inspected|format not|svg <metadata> present|not a valid|truncated chunk|bad segment length|svg decode note".split("|")
+PROBABLE = "ai:|marker:|meta:|frontmatter|json-ld|attr:|png |jpeg app|exif|xmp|interesting|pdf-structured|layer-a".split("|")
 CONFIDENCES = ("confirmed", "probable", "informational", "likely_false_positive")
 
 
@@ -201,7 +206,7 @@ def finding_confidence(finding: Column) -> Column:
     )
 
 
-# --- marks in bytes ----------------------------------------------------------------------------
+# marks in bytes:
 
 
 def marks_in(blob: bytes, marks: list[str] = ALL_MARKS) -> list[str]:
@@ -246,14 +251,14 @@ class _Tally:
         whole = marks_in(data, MANIFEST_MARKS)
         if whole and not self.c2pa:
             self.c2pa = True
-            self.findings.append(f"byte-scan C2PA markers: {', '.join(whole[:6])}")
+            self.findings.append("byte-scan C2PA markers: " + ", ".join(whole[:6]))
         return self.done()
 
     def done(self) -> Found:
         return self.c2pa, self.ai or self.c2pa, self.findings
 
 
-# --- raster images -----------------------------------------------------------------------------
+# raster images:
 
 
 def sniff_image(data: bytes) -> str | None:
@@ -449,7 +454,7 @@ def _inspect_box(t: _Tally, name: bytes, payload: bytes, fmt: str, inner: bool)
         if not t.marks(label, payload[16:] if xmp else payload) and xmp:
             t.findings.append(f"{fmt} {'meta ' * inner}XMP uuid box")
         t.ai |= xmp
-    elif inner and name in (b"iinf", b"infe", b"iref", b"iloc", b"xml ", b"bxml"):
+    elif inner and name in b"iinf|infe|iref|iloc|xml |bxml".split(b"|"):
         t.marks(f"{fmt} meta/{shown}", payload)
 
 
@@ -549,8 +554,9 @@ def inspect_gif(data: bytes) -> Found:
     return t.done()
 
 
-TIFF_TAGS = {270: "ImageDescription", 271: "Make", 272: "Model", 305: "Software", 306: "DateTime", 315: "Artist", 316: "HostComputer", 700: "XMP", 33432: "Copyright", 33723: "IPTC", 34377: "Photoshop", 34665: "ExifIFD", 34853: "GPSInfo", 37510: "UserComment", 40965: "InteroperabilityIFD"}
-_TIFF_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
+TIFF_TAGS = {int(t): n for t, n in (x.split(":") for x in "270:ImageDescription 271:Make 272:Model 305:Software 306:DateTime 315:Artist 316:HostComputer 700:XMP 33432:Copyright 33723:IPTC 34377:Photoshop 34665:ExifIFD 34853:GPSInfo 37510:UserComment 40965:InteroperabilityIFD".split())}
+#: Bytes of a value by field type, from type 1 on.
+_TIFF_SIZES = dict(enumerate(map(int, "1124811248484118" + "88"), 1))
 
 
 def tiff_entries(data: bytes, most: int = 4096):
@@ -608,16 +614,19 @@ def inspect_image(data: bytes) -> tuple[str, Found]:
     return (fmt, work(data)) if work else ("unknown", (False, False, ["unsupported image: unknown"]))
 
 
-# --- audio and video ---------------------------------------------------------------------------
+# audio and video:
 
 
 def _packed7(b: bytes) -> int:
     return (b[0] & 127) << 21 | (b[1] & 127) << 14 | (b[2] & 127) << 7 | b[3] & 127
 
 
-def id3_frames(data: bytes) -> tuple[int, int, list[tuple[bytes, bytes]]] | None:
+Frames = list[tuple[bytes, bytes]]
+
+
+def id3_frames(data: bytes) -> tuple[int, int, Frames] | None:
     """(size of the tag, major version, frames) of a leading ID3v2 tag; v2.2 frames are not taken apart."""
-    if len(data) < 10 or data[:3] != b"ID3":
+    if not data.startswith(b"ID3") or len(data) < 10:
         return None
     total, major = 10 + _packed7(data[6:10]), data[3]
     if total > len(data):
@@ -666,9 +675,10 @@ def inspect_mp4(data: bytes) -> Found:
 
 
 def sniff_av(data: bytes) -> str | None:
-    if len(data) >= 12 and data[4:8] == b"ftyp":
+    head, kind = data[:4], data[8:12]
+    if data[4:8] == b"ftyp" and len(kind) == 4:
         return "mp4"
-    if data[:4] == b"RIFF" and data[8:12] == b"WAVE":
+    if (head, kind) == (b"RIFF", b"WAVE"):
         return "wav"
     return "mp3" if data[:3] == b"ID3" or len(data) > 1 and data[0] == 0xFF and data[1] >= 0xE0 else None
 
@@ -679,7 +689,7 @@ def inspect_av(data: bytes) -> tuple[str, Found]:
     return (fmt, work(data)) if work else ("unknown", (False, False, ["unsupported audio or video"]))
 
 
-# --- text containers ---------------------------------------------------------------------------
+# text containers:
 
 
 def tag_blocks(text, opener, closer):
@@ -693,7 +703,7 @@ def tag_blocks(text, opener, closer):
         at = end.end()
 
 
-_DATA_URI = re.compile(r"data:image/([\w+.-]+)(;[^\s\"')<>]+)?,([A-Za-z0-9+/=\s%]+)", re.I)
+_DATA_URI = re.compile(r"(?i)data:image/([\w+.-]+)(;[^\s\"')<>]+)?,([a-z\d\s%=/+]+)")
 
 
 def decode_uri(params: str, payload: str) -> bytes | None:
@@ -714,7 +724,7 @@ def inspect_uris(text: str) -> Found:
         if not data:
             continue
         mime = m[1].lower()
-        if (fmt := sniff_image(data)) in ("png", "jpeg", "webp", "avif", "heic"):
+        if (fmt := sniff_image(data)) in "png jpeg webp avif heic".split():
             found = inspect_image(data)[1]
         elif "svg" in mime or data.lstrip()[:1] == b"<":
             found = inspect_svg(data)
@@ -724,7 +734,8 @@ def inspect_uris(text: str) -> Found:
     return t.done()
 
 
-_FRONT = re.compile(r"---\r?\n(.*?)\r?\n---\r?\n?", re.S)
+_EOL = r"\r?\n"
+_FRONT = re.compile(f"---{_EOL}(.*?){_EOL}---(?:{_EOL})?", re.S)
 
 
 def front_matter(text: str) -> tuple[list[tuple[str, str]], int]:
@@ -753,16 +764,17 @@ def inspect_markdown(text: str) -> Found:
     return manifest, ai or t.ai, t.findings
 
 
-_META = re.compile(r"<meta\b[^>]*>", re.I)
-_LD_OPEN = re.compile(r"<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>", re.I)
-_LD_CLOSE = re.compile("</script>", re.I)
-_DATA_AI = re.compile(r"\bdata-ai[\w-]*\s*=\s*[\"'][^\"']*[\"']", re.I)
+_REST, _IS, _QUOTED = "[^>]*>", r"\s*=\s*", "[\"'][^\"']*[\"']"
+_META = re.compile(rf"(?i)<meta\b{_REST}")
+_LD_OPEN = re.compile(rf"(?i)<script\b[^>]*type{_IS}[\"']application/ld\+json[\"']{_REST}")
+_LD_CLOSE = re.compile("(?i)</script>")
+_DATA_AI = re.compile(rf"(?i)\bdata-ai[\w-]*{_IS}{_QUOTED}")
 
 
 def is_cms(tag: str) -> bool:
     """A generator tag that names no AI vendor."""
-    attrs = {k.lower(): v for k, v in re.findall(r"(name|property|content|generator)\s*=\s*[\"']([^\"']*)[\"']", tag, re.I)}
-    name = attrs.get("name") or attrs.get("property") or attrs.get("generator") or ""
+    attrs = {k.lower(): v for k, v in re.findall(rf"(?i)(name|property|generator){_IS}[\"']([^\"']*)", tag)}
+    name = next((attrs[k] for k in ("name", "property", "generator") if attrs.get(k)), "")
     return name.lower() == "generator" and not re.search(VENDORS, tag, re.I)
 
 
@@ -798,7 +810,7 @@ def inspect_html(text: str) -> Found:
 def inspect_svg(data: bytes) -> Found:
     t, text = _Tally(), data.decode("utf-8", "replace")
     t.merge(blob_marks(data))
-    if re.search(r"<metadata[\s>]", text, re.I):
+    if re.search(r"(?i)<metadata(?:\s|>)", text):
         t.ai = True
         t.findings.append("svg <metadata> present")
     if re.search("xmpmeta|rdf:RDF|contentcredentials", text, re.I):
@@ -809,7 +821,7 @@ def inspect_svg(data: bytes) -> Found:
     return t.done()
 
 
-_PACKET_OPEN, _PACKET_CLOSE = re.compile(rb"<\?xpacket begin", re.I), re.compile(rb"<\?xpacket end[^?]*\?>", re.I)
+_PACKET_OPEN, _PACKET_CLOSE = (re.compile(rb"(?i)<\?xpacket " + p) for p in (rb"begin", rb"end(?:[^?])*\?>"))
 _STREAM_OPEN, _STREAM_CLOSE = re.compile(rb"stream\r?\n"), re.compile(rb"endstream")
 
 
@@ -828,7 +840,7 @@ def inspect_pdf(data: bytes) -> Found:
     return manifest, ai or manifest, found
 
 
-# --- zipped containers -------------------------------------------------------------------------
+# zipped containers:
 
 
 class Budget(Exception):
@@ -846,7 +858,8 @@ def zip_format(data: bytes) -> str | None:
             return fmt
     if {"content.xml", "meta.xml"} <= names:
         return "odt"
-    return "epub" if "META-INF/container.xml" in names and any(n.endswith(".opf") for n in names) else None
+    packaged = [n for n in names if n.endswith(".opf")]
+    return "epub" if packaged and "META-INF/container.xml" in names else None
 
 
 def zip_members(z: zipfile.ZipFile, wanted=lambda name: True):
@@ -867,7 +880,7 @@ def zip_members(z: zipfile.ZipFile, wanted=lambda name: True):
         yield info.filename, bytes(out)
 
 
-_MEDIA = re.compile(r"(?:word|xl|ppt)/media/.+\.(?:png|jpe?g|webp|avif|heic|gif|bmp|tiff?|svg)", re.I)
+_MEDIA = re.compile(r"(?i)(?:ppt|word|xl)/media/.+\.(?:bmp|gif|svg|tiff?|png|jpe?g|webp|avif|heic)")
 _PAGES = (".xhtml", ".html", ".htm")
 
 
@@ -926,11 +939,11 @@ def inspect_zip(data: bytes, fmt: str) -> Found:
 
 def sniff_container(suffix_: str, data: bytes) -> str | None:
     named = {"htm": "html", "md": "markdown", "mdx": "markdown"}.get(suffix_, suffix_)
-    if named in ("svg", "pdf", "docx", "xlsx", "pptx", "odt", "epub", "html", "markdown"):
+    if named in "svg pdf docx xlsx pptx odt epub html markdown".split():
         return named
-    if data[:4] == b"%PDF":
+    if data.startswith(b"%PDF"):
         return "pdf"
-    if data[:100].lstrip()[:1] == b"<" and b"svg" in data[:500].lower():
+    if re.match(rb"\s*<", data[:100]) and re.search(rb"(?i)svg", data[:500]):
         return "svg"
     return zip_format(data) if data[:2] == b"PK" else None
 
@@ -960,11 +973,11 @@ def inspect_container(suffix_: str, data: bytes, decider: Decider) -> tuple[str,
     for label, text in bodies:
         report = inspect_python(text, decider)
         total += report["suspicious_total"]
-        said += [f"{label}: U+{h['codepoint']:04X} {h['label']} x{h['count']} ({h['kind']})" for h in report["hits"]]
+        said += ["{}: U+{codepoint:04X} {label} x{count} ({kind})".format(label, **h) for h in report["hits"]]
     return fmt, (found[0], found[1], [*found[2], *said]), total
 
 
-# --- column ------------------------------------------------------------------------------------
+# column:
 
 REPORT = "struct<format:string,has_c2pa:boolean,has_ai_metadata:boolean,suspicious_total:int,findings:array<string>>"
 _REPORT_ARROW = pa.struct([("format", pa.string()), ("has_c2pa", pa.bool_()), ("has_ai_metadata", pa.bool_()), ("suspicious_total", pa.int32()), ("findings", pa.list_(pa.string()))])

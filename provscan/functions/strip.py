@@ -23,7 +23,7 @@ from provscan.functions.unicode import Decider, Options, clean_python
 
 RESULT = "struct<content:binary,actions:array<string>,changed:boolean,still_has_c2pa:boolean,still_has_ai_metadata:boolean>"
 Stripped = tuple[bytes, list[str]]
-_ESSENTIAL = (b"IHDR", b"IDAT", b"IEND", b"PLTE", b"tRNS", b"gAMA", b"pHYs", b"sRGB", b"cHRM", b"iCCP")
+_ESSENTIAL = b"IHDR PLTE IDAT IEND tRNS iCCP cHRM gAMA sRGB pHYs".split()
 
 
 def strip_png(data: bytes, everything: bool) -> Stripped:
@@ -58,7 +58,7 @@ def strip_jpeg(data: bytes, everything: bool) -> Stripped:
 
 def _riff(data: bytes, gone) -> Stripped:
     """A RIFF file without the chunks that ``gone`` names; VP8X flags follow."""
-    flags = {b"ICCP": 0x20, b"EXIF": 0x08, b"XMP ": 0x04}
+    flags = dict(zip((b"XMP ", b"EXIF", b"ICCP"), (4, 8, 32)))
     kept, actions, cleared, tail = [], [], 0, b""
     for name, payload, start, end in fm.riff_chunks(data):
         if payload is None:
@@ -73,7 +73,7 @@ def _riff(data: bytes, gone) -> Stripped:
         if name == b"VP8X" and len(chunk) > 8:
             chunk[8] &= ~cleared & 0xFF
     body = data[8:12] + b"".join(bytes(c) for _, c in kept) + tail
-    return b"RIFF" + struct.pack("<I", len(body)) + body, actions
+    return struct.pack("<4sI", b"RIFF", len(body)) + body, actions
 
 
 def strip_webp(data: bytes, everything: bool) -> Stripped:
@@ -228,7 +228,7 @@ def strip_html(text: str, everything: bool) -> tuple[str, list[str]]:
 
     text = fm._META.sub(meta, text)
     text = _without(text, fm._LD_OPEN, fm._LD_CLOSE, fm.is_ai_ld, "drop json-ld provenance-like script", actions)
-    text, n = re.subn(r"\sdata-ai[\w-]*\s*=\s*[\"'][^\"']*[\"']", "", text, flags=re.I)
+    text, n = re.subn(r"\s" + fm._DATA_AI.pattern.removeprefix("(?i)"), "", text, flags=re.I)
     actions += [f"drop data-ai attributes x{n}"] if n else []
     return strip_uris(text, everything, actions), actions
 
@@ -237,7 +237,8 @@ def strip_svg(data: bytes, everything: bool) -> Stripped:
     actions: list[str] = []
     text = data.decode("utf-8", "surrogateescape")
     for tag in ("metadata", "x:xmpmeta"):
-        text = _without(text, re.compile(rf"<{tag}\b[^>]*>", re.I), re.compile(rf"</{tag}\s*>", re.I), lambda b: True, f"drop <{tag}>", actions)
+        opener, closer = re.compile(rf"(?i)<{tag}\b{fm._REST}"), re.compile(rf"(?i)</{tag}\s*>")
+        text = _without(text, opener, closer, lambda b: True, f"drop <{tag}>", actions)
     text = _without(text, re.compile("<!--"), re.compile("--!?>"), lambda b: bool(re.search(fm.META_NAMES, b, re.I)), "drop comment with markers", actions)
     return strip_uris(text, everything, actions).encode("utf-8", "surrogateescape"), actions
 

@@ -40,7 +40,7 @@ class Options:
     nfkc: bool = False
 
 
-# --- Python side: one decision per suspect character ---------------------------------------------
+# Python side: one decision per suspect character:
 
 
 class Decider:
@@ -126,7 +126,7 @@ class Decider:
             i, char = m.start(), m[0]
             if i != last + 1:  # what lies between suspects is visible and kept
                 base = text[i - 1] if i else None
-            put, kind = self.decide(char, base, text[i - 1] if i else None, text[i + 1] if i + 1 < len(text) else None, i in flags, i in paired)
+            put, kind = self.decide(char, base, text[i - 1] if i else None, text[i + 1 : i + 2] or None, i in flags, i in paired)
             if kind is not None:
                 yield i, char, put, kind
             if put and (kind is not None or ord(char) not in self.sets["GLUE"]):
@@ -134,13 +134,18 @@ class Decider:
             last = i
 
 
+def _most_first(entry) -> tuple[int, int]:
+    (codepoint, _), offsets = entry
+    return -len(offsets), codepoint
+
+
 def inspect_python(text: str, decider: Decider) -> dict:
     found: dict[tuple[int, str], list[int]] = {}
     for i, char, _, kind in decider.walk(text):
         found.setdefault((ord(char), kind), []).append(i)
     hits = [
         {"codepoint": c, "label": cp.label(c), "kind": kind, "confidence": "informational" if kind in WEAK_KINDS else "probable", "count": len(at), "sample_offsets": at[:10]}
-        for (c, kind), at in sorted(found.items(), key=lambda x: (-len(x[1]), x[0][0]))
+        for (c, kind), at in sorted(found.items(), key=_most_first)
     ]
     return {"length": len(text), "suspicious_total": sum(h["count"] for h in hits), "hits": hits}
 
@@ -175,7 +180,7 @@ def clean_python(text: str, decider: Decider) -> dict:
     }
 
 
-# --- columns -----------------------------------------------------------------------------------
+# columns:
 
 _HIT_ARROW = pa.struct([("codepoint", pa.int32()), ("label", pa.string()), ("kind", pa.string()), ("confidence", pa.string()), ("count", pa.int32()), ("sample_offsets", pa.list_(pa.int32()))])
 _REPORT_ARROW = pa.struct([("length", pa.int32()), ("suspicious_total", pa.int32()), ("hits", pa.list_(_HIT_ARROW))])

@@ -51,7 +51,7 @@ def key_bytes(raw: str) -> bytes:
 
 
 def gamma_tail(s: float, n: int) -> float:
-    """P(Gamma(n, 1) >= s), in logarithms so that no term overflows."""
+    """The chance that a Gamma(n, 1) variable reaches s, summed in logarithms so that no term overflows."""
     if n <= 0 or s <= 0:
         return 1.0
     terms, term = [0.0], 0.0

@@ -43,7 +43,8 @@ def cohens_d(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Col
 
 def verdict(d: Column, n1: Column, n2: Column) -> tuple[Column, Column, Column]:
     """(low, high, label): the 95 % interval of d and the band that all of it lies in, else inconclusive."""
-    error = F.sqrt((n1 + n2) / (n1 * n2) + d * d / (2 * (n1 + n2)))
+    both = n1 + n2
+    error = F.sqrt(both / (n1 * n2) + F.pow(d, 2) / both / 2)
     low, high = d - Z95 * error, d + Z95 * error
     band = lambda x: F.when(x >= LARGE, "sufficient").when(x >= SMALL, "inconclusive").otherwise("insufficient")
     return low, high, F.when(band(low) == band(high), band(low)).otherwise("inconclusive")

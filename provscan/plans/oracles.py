@@ -112,7 +112,7 @@ ORACLES["token_id_input"] = """SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN
 
 ORACLES["classify_paths"] = f"SELECT doc_id, {pick(['image', 'container', 'text', 'av', 'unknown', 'container', 'text', 'image'])} AS kind FROM documents"
 ORACLES["classify_magic"] = f"SELECT doc_id, {pick(Q._HEAD_FORMATS)} AS format, {pick(Q._HEAD_KINDS)} AS kind FROM documents"
-_WHY = {0: "a PNG image", 1: "a JPEG image", 2: "a RIFF container (WEBP, WAV, AVI)", 5: "a BMP image", 6: "a GIF image", 7: "a TIFF image", 9: "a RIFF container (WEBP, WAV, AVI)", 10: "a PDF", 13: "a ZIP container (DOCX, ODT, XLSX, PPTX, EPUB, JAR)"}
+_WHY = {0: "a PNG image", 1: "a JPEG image", 2: "a RIFF file (WebP, WAV or AVI)", 5: "a BMP image", 6: "a GIF image", 7: "a TIFF image", 9: "a RIFF file (WebP, WAV or AVI)", 10: "a PDF", 13: "a ZIP container (Office, ODT, EPUB, JAR)"}
 _NUL = "binary data (contains NUL bytes)"
 ORACLES["looks_binary"] = f"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN {pick([_WHY.get(i, _NUL if i in (3, 4, 8) else None) for i in range(14)])}
   WHEN doc_id % 4 = 1 AND strlen(text) < 600 THEN CASE WHEN starts_with(text, 'BM') THEN 'a BMP image' ELSE '{_NUL}' END

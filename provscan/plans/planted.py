@@ -69,7 +69,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGES = "(SELECT page_id, url, coalesce(html, '')" + "".join(f" || CASE WHEN page_id % {m} = 0 THEN '{mark}' ELSE '' END" for m, mark in PAGE_MARKS) + " AS html FROM pages)"
 
 
-# --- files -------------------------------------------------------------------------------------
+# files:
 
 
 def _chunk(name: bytes, body: bytes) -> bytes:
@@ -86,7 +86,7 @@ def jpeg(*segments: tuple[int, bytes]) -> bytes:
 
 def riff(kind: bytes, *chunks: tuple[bytes, bytes]) -> bytes:
     body = kind + b"".join(n + struct.pack("<I", len(b)) + b + b"\0" * (len(b) & 1) for n, b in chunks)
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+    return struct.pack("<4sI", b"RIFF", len(body)) + body
 
 
 def box(name: bytes, body: bytes) -> bytes:

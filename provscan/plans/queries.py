@@ -23,7 +23,7 @@ def query(work):
     return work
 
 
-# --- Unicode -----------------------------------------------------------------------------------
+# Unicode:
 
 
 @query
@@ -79,7 +79,7 @@ def unicode_nfkc(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("c.text").alias("folded"), F.col("c.nfkc_changed").alias("changed"), F.col("c.replaced_count").cast("long").alias("replaced_count"))
 
 
-# --- cadence -----------------------------------------------------------------------------------
+# cadence:
 
 
 @query
@@ -118,7 +118,7 @@ def cadence_over_threshold(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("source").agg(F.count("*").alias("docs"), F.count_if(F.col("cadence.score") >= cadence.THRESHOLD).alias("over"), F.count_if(F.col("cadence.notice").isNotNull()).alias("noticed"))
 
 
-# --- style -------------------------------------------------------------------------------------
+# style:
 
 _STYLE_TAIL = "\n\nLet's delve into this. It's worth noting that it works. Here's why: perhaps maybe it does. As we have seen, nos dias de hoje.\n"
 
@@ -181,7 +181,7 @@ def naturalize_tail(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("n.text").alias("text"), F.size("n.edits").cast("long").alias("edits"))
 
 
-# --- watermark ---------------------------------------------------------------------------------
+# watermark:
 
 
 @query
@@ -214,7 +214,7 @@ def token_id_input(spark: SparkSession, d: str) -> DataFrame:
     return P.table(spark, d, "documents", "doc_id").select("doc_id", watermark.listed_tokens(raw).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.lower(F.hex(F.get("t", F.lit(0)))).alias("first_id"), F.lower(F.hex(F.get("t", F.lit(1)))).alias("second_id"))
 
 
-# --- routing -----------------------------------------------------------------------------------
+# routing:
 
 _SUFFIXES = ["png", "docx", "TXT", "mp3", "xyz", "html", "json", "heic"]
 _HEADS = [b"\x89PNG\r\n\x1a\n0000", b"\xff\xd8\xff\xe0JFIF", b"RIFF\0\0\0\0WEBPVP8 ", b"\0\0\0\x14ftypavif\0\0\0\0avif", b"\0\0\0\x14ftypisom\0\0\0\0isom", b"BM" + b"\0" * 20, b"GIF89a" + b"\0" * 8, b"II*\0" + b"\0" * 8, b"ID3\3" + b"\0" * 8, b"RIFF\0\0\0\0WAVEfmt ", b"%PDF-1.7 x", b"<svg xmlns='x'></svg>", b"just some text", b"PK\3\4" + b"\0" * 20]
@@ -283,7 +283,7 @@ def sitemap_pages(spark: SparkSession, d: str) -> DataFrame:
     return S.sitemap_pages(rows.distinct())
 
 
-# --- formats -----------------------------------------------------------------------------------
+# formats:
 
 
 @query
@@ -343,7 +343,7 @@ def load_files(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.sha2("r.text", 256).alias("text_sha256"), F.col("r.skip_reason").alias("skip_reason"), F.size("r.notes").cast("long").alias("notes"))
 
 
-# --- audit -------------------------------------------------------------------------------------
+# audit:
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -393,7 +393,7 @@ def audit_status(spark: SparkSession, d: str) -> DataFrame:
     return audit.exit_status(_items(spark, d)).select(F.col("status").cast("long").alias("status"))
 
 
-# --- pairs -------------------------------------------------------------------------------------
+# pairs:
 
 
 def _turn_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -436,7 +436,7 @@ def benchmark_by_variant(spark: SparkSession, d: str) -> DataFrame:
     return found.select("variant", "n", "before_positive", "after_positive", "cleared", "clear_rate", "mean_score_delta", "median_score_delta", "mean_lexical_divergence", "mean_length_ratio", "est_usd", "clears_per_mtok_out")
 
 
-# --- corpus ------------------------------------------------------------------------------------
+# corpus:
 
 
 @query
@@ -485,7 +485,7 @@ def compare_signals(spark: SparkSession, d: str) -> DataFrame:
     return s.select("signal", F.col("files_before").cast("long").alias("files_before"), F.col("files_after").cast("long").alias("files_after"), "severity_before", "severity_after")
 
 
-# --- streams -----------------------------------------------------------------------------------
+# streams:
 
 
 def _scratch(spark: SparkSession) -> str:

@@ -114,8 +114,8 @@ def html_text_python(html: str) -> str:
     parser = _Html()
     parser.feed(html)
     parser.close()
-    lines = (re.sub(r"[ \t]+", " ", line).strip() for line in "".join(parser.out).split("\n"))
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip() + "\n"
+    squeezed = "\n".join(" ".join(re.split("[ \\t]+", line)).strip() for line in "".join(parser.out).splitlines())
+    return re.sub("\n\n\n+", "\n\n", squeezed).strip() + "\n"
 
 
 def html_text(html: Column) -> Column:
@@ -206,9 +206,8 @@ SITEMAP = "struct<kind:string,urls:array<string>,error:string>"
 
 def sitemap_python(data: bytes) -> tuple[str, list[str]]:
     """(kind of the root, its locations), gzipped or not; files that declare entities are refused."""
-    if data[:2] == b"\x1f\x8b":
-        with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
-            data = f.read(MAX_SITEMAP + 1)
+    if data.startswith(bytes.fromhex("1f8b")):
+        data = gzip.open(io.BytesIO(data)).read(MAX_SITEMAP + 1)
     if len(data) > MAX_SITEMAP:
         raise ValueError("sitemap too large")
     if re.search(b"<!(?:DOCTYPE|ENTITY)", data):

@@ -46,7 +46,8 @@ def write_sarif(items: DataFrame, path: str, name: str = "provscan", version: st
     Results stay distributed: each part but the ends holds a task's results.
     """
     rules = [{"id": i, "name": n, "shortDescription": {"text": t}, "defaultConfiguration": {"level": level}} for i, (n, level, t) in RULES.items()]
-    head = {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": name, "version": version, "rules": rules}}, "results": []}]}
+    driver = dict(name=name, version=version, rules=rules)
+    head = dict([("$schema", "https://json.schemastore.org/sarif-2.1.0.json"), ("version", "2.1.0"), ("runs", [dict(tool=dict(driver=driver), results=[])])])
     start, end = json.dumps(head)[:-4], "]}]}"
     spark = items.sparkSession
     one = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)

@@ -32,7 +32,7 @@ class MediaError(ValueError):
     """A file that is not what its headers say."""
 
 
-# --- Huffman codes -----------------------------------------------------------------------------
+# Huffman codes:
 
 
 def _codes(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
@@ -75,7 +75,7 @@ def _lookup(dht: dict[int, int]) -> np.ndarray:
     return table
 
 
-# --- writing -----------------------------------------------------------------------------------
+# writing:
 
 
 def _entropy(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,7 +164,7 @@ def store(payloads: list[bytes]) -> list[bytes]:
     return files
 
 
-# --- parsing -----------------------------------------------------------------------------------
+# parsing:
 
 
 @dataclass
@@ -312,7 +312,7 @@ def parse_jpeg(frame) -> _Jpeg:
         at += 2 + size
 
 
-# --- decoding ----------------------------------------------------------------------------------
+# decoding:
 
 
 def _intervals(scans: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -496,7 +496,7 @@ def _scan_bytes(data: memoryview) -> memoryview:
     return data[:-2] if data[-2:] == b"\xff\xd9" else data
 
 
-# --- shots -------------------------------------------------------------------------------------
+# shots:
 
 
 def histograms(frames: list[np.ndarray]) -> np.ndarray:

@@ -38,7 +38,7 @@ def ids_of(library, text):
     return library.encode(text or "", add_special_tokens=False).ids
 
 
-# 1 ---------------------------------------------------------------------------------------------
+# 1:
 
 
 def test_media_round_trip(odd):
@@ -139,7 +139,7 @@ def test_shots_of_a_video(spark):
     assert all(r["error"] for r in rows if r["id"] in (4, 5)) and avi.clips(df.where("false")).count() == 0
 
 
-# 2 ---------------------------------------------------------------------------------------------
+# 2:
 
 
 def fewest(items, capacity):
@@ -201,7 +201,7 @@ def test_packed_documents(odd, library):
     assert packing.packed_documents(odd.where("false"), word_vocabulary()).count() == 0
 
 
-# 3 ---------------------------------------------------------------------------------------------
+# 3:
 
 
 def plain_fingerprint(text):
@@ -258,7 +258,7 @@ def test_one_document_of_each_class_stays(odd):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == sorted((i is None, i) for i in (1, 3, 6, 7, 8, 9, 10, None))
 
 
-# 4 ---------------------------------------------------------------------------------------------
+# 4:
 
 
 def test_ids_equal_the_library(odd, library):
@@ -291,7 +291,7 @@ def test_every_character_that_is_split_here(library):
     assert own.encode_many(texts) == [np.array(ids_of(library, t), "<u4").tobytes() for t in texts]
 
 
-# 5 ---------------------------------------------------------------------------------------------
+# 5:
 
 
 def test_sharding(odd, spark):
@@ -317,7 +317,7 @@ def test_weights_move_rows_in_changed_subtrees_only(spark):
     assert 3700 < next(r["count"] for r in heavy if r["s"] == 3) < 4300
 
 
-# 6 ---------------------------------------------------------------------------------------------
+# 6:
 
 
 def toxic_corpus(n=1500):
@@ -352,7 +352,7 @@ def test_toxicity(spark, odd):
     assert (flipped[0] == model[0]).all() and np.allclose(flipped[1], model[1])
 
 
-# 7 ---------------------------------------------------------------------------------------------
+# 7:
 
 
 def test_neighbours(spark):
@@ -382,7 +382,7 @@ def test_neighbours(spark):
     assert hnsw.nearest(few, few, 5).count() == 2 and hnsw.nearest(few.where("false"), few.where("false"), 5).count() == 0
 
 
-# 8 ---------------------------------------------------------------------------------------------
+# 8:
 
 
 def plain_rule(url):
@@ -422,7 +422,7 @@ def test_templates_learn_from_labels(spark):
     assert {tuple(r["template"]) for r in shaped.collect()} >= {("sale", "*"), ("de", "item", "*"), ("fr", "*")}
 
 
-# 9 ---------------------------------------------------------------------------------------------
+# 9:
 
 
 def plain_repeats(texts, width=200):
@@ -482,7 +482,7 @@ def test_repeats_of_odd_rows(odd):
     assert gone[1] == gone[2] == 600 and gone[4] == gone[7] == 0 and gone[9] == 5000
 
 
-# 10 --------------------------------------------------------------------------------------------
+# 10:
 
 
 def test_preference_pairs(spark):

@@ -156,3 +156,18 @@ def exit_status(items: DataFrame) -> DataFrame:
     """(status): 3 if files were skipped, else 1 if any is actionable, else 0."""
     any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     return items.agg(F.when(any_of(F.col("skip_reason").isNotNull()), 3).when(any_of(is_actionable(F.col("has_c2pa"), F.col("findings"))), 1).otherwise(0).alias("status"))
+
+
+def suspicious(total: Column, has_c2pa: Column, has_ai: Column, cadence_score: Column | None = None, *detected: Column) -> Column:
+    """Whether anything speaks for a closer look: carriers, provenance, a high cadence score, or a detector that fired."""
+    out = (F.coalesce(total, F.lit(0)) > 0) | F.coalesce(has_c2pa, F.lit(False)) | F.coalesce(has_ai, F.lit(False))
+    if cadence_score is not None:
+        out = out | F.coalesce(cadence_score >= cadence.THRESHOLD, F.lit(False))
+    for d in detected:
+        out = out | F.coalesce(d, F.lit(False))
+    return out
+
+
+def report_lines(items: DataFrame) -> DataFrame:
+    """(line): findings as plain text, one a line."""
+    return items.select("path", F.explode("findings").alias("f")).select(F.format_string("[%s] %s: %s", "f.confidence", "path", "f.message").alias("line"))

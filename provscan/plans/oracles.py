@@ -158,6 +158,12 @@ ORACLES["strip_report"] = f"SELECT doc_id, FALSE AS still_c2pa, e.has_ai AND e.f
 ORACLES["audit_website"] = f"WITH {ITEMS} SELECT 'html' AS kind, count(*) AS pages, count_if(c2pa) AS with_c2pa, count_if(ai) AS with_ai FROM p"
 ORACLES["audit_status"] = f"WITH {ITEMS} SELECT CAST(CASE WHEN (SELECT count_if(strong > 0) FROM t) + (SELECT count_if(ai) FROM p) > 0 THEN 1 ELSE 0 END AS BIGINT) AS status"
 
+ORACLES["unicode_context_rules"] = f"SELECT doc_id, {pick([c[1] for c in Q._CONTEXT])} AS cleaned, {pick([c[2] for c in Q._CONTEXT])} AS kinds FROM documents"
+ORACLES["suspicious_flag"] = rf"WITH {CADENCE_SQL} SELECT source, count(*) AS docs, count_if(score >= 0.65 OR regexp_matches(text, '[\x{{200B}}\x{{00A0}}\x{{2014}}]')) AS suspicious FROM c GROUP BY source"
+_LINE = lambda conf, kind, label, char: f"SELECT '[{conf}] doc/' || doc_id || '.txt: layer-a [{kind}] {label} x' || (length(text) - length(replace(text, chr({char}), ''))) AS line FROM {P.DOCS} WHERE contains(text, chr({char}))"
+ORACLES["audit_lines"] = " UNION ALL ".join((_LINE("probable", "zwj_family", "U+200B ZERO WIDTH SPACE (Cf)", 8203), _LINE("informational", "space", "U+00A0 NO-BREAK SPACE (Zs)", 160), _LINE("probable", "em_dash", "U+2014 EM DASH (Pd)", 8212)))
+ORACLES["path_rules"] = f"SELECT doc_id, regexp_matches(p, '^docs/') OR regexp_matches(p, '-draft\\.md$') OR regexp_matches(p, '(^|/)1.\\.txt$') AS ignored FROM (SELECT doc_id, {pick(['src', 'docs', 'docs/old', 'x'])} || '/' || doc_id || {pick(['.md', '.txt', '-draft.md'])} AS p FROM documents)"
+
 _PAIRS = """pairs AS (SELECT conv_id, turn, before, CASE WHEN turn % 2 = 0 THEN before || ' ' || substr(after, 1, 40) ELSE after END AS after FROM (
   SELECT conv_id, turn, text || ' see https://x.invalid/a and 42 or ' || turn AS before, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations) WHERE after IS NOT NULL)"""
 _BI = lambda x: f"list_distinct(list_transform(range(1, len({x})), lambda i: {x}[i] || ' ' || {x}[i+1]))"

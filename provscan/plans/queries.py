@@ -79,6 +79,35 @@ def unicode_nfkc(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("c.text").alias("folded"), F.col("c.nfkc_changed").alias("changed"), F.col("c.replaced_count").cast("long").alias("replaced_count"))
 
 
+#: (text, cleaned, kinds that inspection reports): characters that mean something where they stand, and the same where they don't.
+_CONTEXT = [
+    ("\U0001f3f4\U000e0067\U000e0062\U000e007f flag", "\U0001f3f4\U000e0067\U000e0062\U000e007f flag", ""),
+    ("no\U000e0067flag", "noflag", "tag_chars"),
+    ("x \u202bab\u202c", "x \u202bab\u202c", "bidi"),
+    ("x \u202bab", "x ab", "bidi"),
+    ("\U0001f468\u200d\U0001f469 family", "\U0001f468\u200d\U0001f469 family", ""),
+    ("a\u200db", "ab", "zwj_family"),
+    ("\u0645\u06cc\u200c\u0631\u0648\u0645", "\u0645\u06cc\u200c\u0631\u0648\u0645", ""),
+    ("\u845b\U000e0100", "\u845b\U000e0100", ""),
+    ("a\U000e0100", "a", "variation_selector"),
+    ("\u1820\u180b", "\u1820\u180b", ""),
+    ("\u1780\u17b4", "\u1780\u17b4", ""),
+    ("\u1100\u1160", "\u1100\u1160", ""),
+    ("a\u3164b", "ab", "strip"),
+    ("\U00013000\U00013430\U00013001", "\U00013000\U00013430\U00013001", ""),
+    ("a\U00013430b", "ab", "other_cf"),
+    ("\u0600\u0661", "\u0600\u0661", ""),
+]
+
+
+@query
+def unicode_context_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Load-bearing invisible characters and their loose twins [U2, U3, U4, H1, H2]."""
+    rows = P.table(spark, d, "documents", "doc_id").withColumn("text", _pick([c[0] for c in _CONTEXT]))
+    kinds = F.array_join(F.array_distinct(F.transform(U.inspect(F.col("text"))["hits"], lambda h: h["kind"])), ",")
+    return rows.select("doc_id", U.clean_text(F.col("text")).alias("cleaned"), kinds.alias("kinds"))
+
+
 # cadence:
 
 
@@ -393,6 +422,28 @@ def audit_status(spark: SparkSession, d: str) -> DataFrame:
     return audit.exit_status(_items(spark, d)).select(F.col("status").cast("long").alias("status"))
 
 
+@query
+def suspicious_flag(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that deserve a closer look, by source [R9]."""
+    rows = cadence.report(P.docs(spark, d)).withColumn("hits", U.inspect(F.col("text"))["suspicious_total"])
+    flag = audit.suspicious(F.col("hits"), F.lit(False), F.lit(False), F.col("cadence.score"))
+    return rows.groupBy("source").agg(F.count("*").alias("docs"), F.count_if(flag).alias("suspicious"))
+
+
+@query
+def audit_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of documents as plain text [H3]."""
+    return audit.report_lines(audit.audit_texts(P.docs(spark, d).withColumn("path", F.format_string("doc/%d.txt", "doc_id"))))
+
+
+@query
+def path_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Files that the style walk takes and leaves out [S2, S3, S11]."""
+    path = F.concat(_pick(["src", "docs", "docs/old", "x"]), F.lit("/"), F.col("doc_id").cast("string"), _pick([".md", ".txt", "-draft.md"]))
+    rows = P.table(spark, d, "documents", "doc_id").select("doc_id", path.alias("path"))
+    return rows.select("doc_id", S.ignored(F.col("path"), ["docs/*", "*-draft.md", "1?.txt"]).alias("ignored"))
+
+
 # pairs:
 
 

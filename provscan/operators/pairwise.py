@@ -12,6 +12,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[A-Za-z0-9]+"), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def bigrams(toks: Column) -> Column:
     """Distinct pairs of neighbours."""
     n = F.size(toks)
@@ -21,16 +26,25 @@ def bigrams(toks: Column) -> Column:
 
 def lexical_divergence(original: Column, candidate: Column) -> Column:
     """1 - Jaccard of bigram sets: 0 for equal or for texts without any bigram, 1 if just one has no token."""
-    a, b = tokens(original), tokens(candidate)
-    x, y = bigrams(a), bigrams(b)
-    common, union = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 0.0).when((F.size(a) == 0) | (F.size(b) == 0), 1.0).when(union == 0, 0.0).otherwise(1 - common / union)
+
+    def of_tokens(t: Column) -> Column:
+        sets = F.struct(F.size(t["a"]).alias("a"), F.size(t["b"]).alias("b"), bigrams(t["a"]).alias("x"), bigrams(t["b"]).alias("y"))
+        return let(sets, of_sets)
+
+    def of_sets(s: Column) -> Column:
+        return let(F.struct(s["a"].alias("a"), s["b"].alias("b"), F.size(F.array_intersect(s["x"], s["y"])).alias("both"), (F.size(s["x"]) + F.size(s["y"])).alias("sum")), of_sizes)
+
+    def of_sizes(n: Column) -> Column:
+        lone = (n["a"] == 0) | (n["b"] == 0)
+        return F.when(lone, F.when(n["a"] == n["b"], 0.0).otherwise(1.0)).when(n["sum"] == 0, 0.0).otherwise(1 - n["both"] / (n["sum"] - n["both"]))
+
+    return let(F.struct(tokens(original).alias("a"), tokens(candidate).alias("b")), of_tokens)
 
 
 def kept_share(original: Column, candidate: Column, pattern: str) -> Column:
     """Share of the different matches in ``original`` that ``candidate`` has too; 1 if there are none."""
-    a, b = (F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0))) for t in (original, candidate))
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    found = [F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).alias(n) for n, t in (("a", original), ("b", candidate))]
+    return let(F.struct(*found), lambda m: F.when(F.size(m["a"]) == 0, 1.0).otherwise(F.size(F.array_intersect(m["a"], m["b"])) / F.size(m["a"])))
 
 
 def numbers_preserved(original: Column, candidate: Column) -> Column:

@@ -200,7 +200,7 @@ def _second_batches(batches):
         for block in _blocks(texts):
             r32, r64, r128 = _double(block.text, (FINE, COARSE, SPAN))
             coarse, _ = _coarse(block, r64)
-            again = np.where(_flags(block, lists, len(coarse)) > 0, coarse, np.uint64(0))
+            again = np.where(_flags(block, lists, len(block.text))[: len(coarse)] > 0, coarse, np.uint64(0))
             width = WINDOW - COARSE + 1
             # A window is open if its least rank is one of those known to repeat: the rank stands somewhere in it, flagged.
             least = _extreme(coarse, width, np.minimum)

@@ -471,8 +471,9 @@ def test_long_texts_are_cut_into_segments_alike(spark, monkeypatch):
     texts = [text[:14_000] + text[3000:3400] + text[14_000:], text[20_000:20_250] + "tail", "y" * 3000]
     want = plain_repeats(texts)
     assert repeats_of(spark, texts)[0] == want
-    monkeypatch.setattr(suffix, "BLOCK", 4096)
-    assert repeats_of(spark, texts)[0] == want
+    for size in (4096, 3517, 1024):
+        monkeypatch.setattr(suffix, "BLOCK", size)
+        assert repeats_of(spark, texts)[0] == want
 
 
 def test_repeats_of_odd_rows(odd):

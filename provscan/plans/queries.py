@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +12,7 @@ from provscan.functions import unicode as U
 from provscan.operators import audit, corpus, pairwise
 from provscan.plans import planted as P
 from provscan.sources import files as S
+from provscan.sources.tables import shared_root
 from provscan.streaming import facade
 
 QUERIES: dict = {}
@@ -540,8 +540,7 @@ def compare_signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="provscan-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,3 +23,18 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     """A Parquet table, spread over the cores if it is a small one."""
     df = spark.read.parquet(path)
     return spread(df.select(*columns) if columns else df)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it; one of our own only in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_root()
+
+
+@functools.cache
+def _local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="provscan-")

@@ -7,29 +7,11 @@ back, so that a lost executor costs no more than the tasks it was running.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_root()
-
-
-_LOCAL: list[str] = []
-
-
-def _local_root() -> str:
-    if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="provscan-"))
-    return _LOCAL[0]
+from provscan.sources.tables import shared_root
 
 
 class Scratch:
@@ -37,10 +19,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.root)
 
-    def write(self, df: DataFrame, name: str, coalesced: bool = False) -> DataFrame:
+    def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         # The JVM frees shuffle files only when their owner is collected.

@@ -256,6 +256,11 @@ def _kept(key: tuple, build):
     return store[key]
 
 
+def forget() -> None:
+    """Frees what this worker keeps: for operators that need its memory for something else."""
+    builtins.__dict__.get("_provscan_kept", {}).clear()
+
+
 def vocabulary(path: str) -> Vocabulary:
     return _kept(("vocabulary", path), lambda: Vocabulary(path))
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provscan.llm.bpe import forget
 from provscan.llm.scratch import Scratch
 
 WINDOW = 200  #: bytes of a string that must not occur twice
@@ -36,7 +37,7 @@ COARSE = 64
 FINE = 32  #: bytes ranked, and positions compared, by the finer sample
 SPAN = 128
 LEFT, RIGHT = 63, 169  #: bytes before and after a fine position that cover all windows it stands for
-BLOCK = 1 << 21  #: bytes handled at once in a Python worker
+BLOCK = 1 << 20  #: bytes handled at once in a Python worker
 HALO = 512
 _OCCURRENCE = np.dtype([("k1", "<i8"), ("k2", "<i4"), ("at", "<i4")])
 _ROWS = "h1 long, h2 long, seen binary"
@@ -161,6 +162,7 @@ def _coarse(block: _Block, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _first_batches(batches):
     """Offset 64: rank pairs (rank, 0) of the positions least in some window."""
+    forget()
     for batch in batches:
         k1, k2, texts = _keys(batch)
         found = []
@@ -193,6 +195,7 @@ def _flags(block: _Block, lists: list, size: int) -> np.ndarray:
 
 def _second_batches(batches):
     """Offset 128: (rank of 128 bytes, rank of all bytes around) of fine positions that stand for a window still open."""
+    forget()
     for batch in batches:
         k1, k2, texts = _keys(batch)
         lists = [np.asarray(x, np.int64) for x in batch.column(3).to_numpy(zero_copy_only=False)]
@@ -224,6 +227,7 @@ def _around(block: _Block, r64: np.ndarray, index: np.ndarray) -> np.ndarray:
 
 def _third_batches(batches):
     """Offset 200: rank pairs of the byte positions whose fine position left them open."""
+    forget()
     for batch in batches:
         k1, k2, texts = _keys(batch)
         lists = [np.asarray(x, np.int64) for x in batch.column(3).to_numpy(zero_copy_only=False)]

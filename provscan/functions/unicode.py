@@ -13,6 +13,7 @@ from collections import Counter
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -150,6 +151,100 @@ def inspect_python(text: str, decider: Decider) -> dict:
     return {"length": len(text), "suspicious_total": sum(h["count"] for h in hits), "hits": hits}
 
 
+class _Windows:
+    """Hashes of all windows of one length in stretches of two texts. A hash only proposes; texts are compared."""
+
+    def __init__(self, a: str, b: str):
+        codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for t in (a, b)]
+        n = max(map(len, codes))
+        odd = np.uint64(0x9E3779B97F4A7C15)
+        self.sums, self.texts = [], (a, b)
+        powers = np.multiply.accumulate(np.full(n, odd))
+        self.back = np.multiply.accumulate(np.full(n + 1, np.uint64(pow(int(odd), -1, 1 << 64))))
+        for c in codes:
+            c = (c + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            c ^= c >> np.uint64(29)
+            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * powers[: len(c)])]))
+
+    def _hashes(self, side: int, low: int, high: int, size: int) -> np.ndarray:
+        s = self.sums[side]
+        return (s[low + size : high + 1] - s[low : high + 1 - size]) * self.back[low : high + 1 - size]
+
+    def first(self, alo: int, ahi: int, blo: int, bhi: int, size: int) -> tuple[int, int] | None:
+        """The first window of a that b holds, and the first place there; ValueError if a hash lied."""
+        if size > min(ahi - alo, bhi - blo):
+            return None
+        x, y = self._hashes(0, alo, ahi, size), self._hashes(1, blo, bhi, size)
+        found = np.isin(x, y)
+        i = int(found.argmax())
+        if not found[i]:
+            return None
+        j = int((y == x[i]).argmax())
+        a, b = self.texts
+        if a[alo + i : alo + i + size] != b[blo + j : blo + j + size]:
+            raise ValueError("two windows share a hash")
+        return alo + i, blo + j
+
+
+SMALL = 1 << 14  #: pairs of characters up to which SequenceMatcher compares directly
+
+
+def unmatched(a: str, b: str) -> int:
+    """Characters of ``a`` outside SequenceMatcher's matching blocks (without junk), also for long texts.
+
+    The matcher takes the longest common block, the first of equals, and goes on
+    left and right of it. Its search tries all pairs of equal characters; here
+    the longest block is found by hashed windows, in time about the texts' length.
+    """
+    windows, matched, todo = None, 0, [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        short = min(ahi - alo, bhi - blo)
+        if not short:
+            continue
+        if (ahi - alo) * (bhi - blo) <= SMALL:
+            matched += sum(m.size for m in SequenceMatcher(None, a[alo:ahi], b[blo:bhi], autojunk=False).get_matching_blocks())
+            continue
+        # A run at either end is common for sure: begin with the longer one.
+        head, tail = _same_start(a[alo:ahi], b[blo:bhi]), _same_start(a[alo:ahi][::-1], b[blo:bhi][::-1])
+        size = max(head, tail)
+        at = (alo, blo) if head >= tail else (ahi - size, bhi - size)
+        # All runs of b that long hold its middle: if a has that once, there is no other.
+        core = b[bhi - size : blo + size]
+        if core and (once := a.find(core, alo, ahi)) >= 0 and a.find(core, once + 1, ahi) < 0:
+            matched += size
+            todo += [(alo, at[0], blo, at[1]), (at[0] + size, ahi, at[1] + size, bhi)]
+            continue
+        try:
+            windows, step = windows or _Windows(a, b), 1
+            if size:
+                at = windows.first(alo, ahi, blo, bhi, size)
+            beyond = short + 1  # no common window is that long
+            while size + 1 < beyond:
+                tried = min(size + step, beyond - 1)
+                hit = windows.first(alo, ahi, blo, bhi, tried)
+                if hit:
+                    size, at, step = tried, hit, 2 * step
+                else:
+                    beyond, step = tried, max(1, (tried - size) // 2)
+        except ValueError:
+            m = SequenceMatcher(None, a[alo:ahi], b[blo:bhi], autojunk=False).find_longest_match()
+            size, at = m.size, (alo + m.a, blo + m.b)
+        if size:
+            matched += size
+            todo += [(alo, at[0], blo, at[1]), (at[0] + size, ahi, at[1] + size, bhi)]
+    return len(a) - matched
+
+
+def _same_start(a: str, b: str) -> int:
+    """How many characters both start with."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
+    return low
+
+
 def clean_python(text: str, decider: Decider) -> dict:
     removed, replaced = Counter(), Counter()
     if decider.o.dashes:
@@ -165,8 +260,7 @@ def clean_python(text: str, decider: Decider) -> dict:
     if decider.o.nfkc:
         folded = unicodedata.normalize("NFKC", result)
         if changed := folded != result:
-            steps = SequenceMatcher(None, result, folded, autojunk=False).get_opcodes()
-            replaced["NFKC_normalize"] += sum(b - a for name, a, b, _, _ in steps if name != "equal") or 1
+            replaced["NFKC_normalize"] += unmatched(result, folded) or 1
         result = folded
     return {
         "text": result,

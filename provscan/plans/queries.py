@@ -73,10 +73,22 @@ def unicode_confusables(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def unicode_nfkc(spark: SparkSession, d: str) -> DataFrame:
-    """Compatibility normalisation of the planted tail, and whether it changed the text [U11]."""
-    rows = P.docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 17 == 0, F.expr("substring(text, -2)")).otherwise("Ab").alias("tail"))
-    rows = rows.select("doc_id", U.clean(F.col("tail"), U.Options(nfkc=True)).alias("c"))
-    return rows.select("doc_id", F.col("c.text").alias("folded"), F.col("c.nfkc_changed").alias("changed"), F.col("c.replaced_count").cast("long").alias("replaced_count"))
+    """Compatibility normalisation of whole texts: the folded tail where one is planted, whether folding changed the text, and characters it replaced [U11]."""
+    rows = P.docs(spark, d).select("doc_id", U.clean(F.col("text"), U.Options(nfkc=True)).alias("c"))
+    tail = F.when(F.col("doc_id") % 17 == 0, F.right("c.text", F.lit(2))).otherwise("Ab")
+    folds = F.coalesce(F.try_element_at("c.replaced", F.lit("NFKC_normalize")), F.lit(0))
+    return rows.select("doc_id", tail.alias("folded"), F.col("c.nfkc_changed").alias("changed"), folds.cast("long").alias("replaced_count"))
+
+
+#: Characters with compatibility forms, put in front of a text by its id.
+_COMPATIBLE = ["", "\ufb01ne ", "x\u00b2 ", "\uff34\uff45\uff58\uff54 ", "\u2460 \u2026 ", "\u212b e\u0301 ", "\u33a5 \u00bd "]
+
+
+@query
+def unicode_nfkc_text(spark: SparkSession, d: str) -> DataFrame:
+    """Digest and length of the whole text after compatibility normalisation, and what that changed [U11]."""
+    rows = P.docs(spark, d).select("doc_id", U.clean(F.concat(_pick(_COMPATIBLE), "text"), U.Options(nfkc=True)).alias("c"))
+    return rows.select("doc_id", F.sha2("c.text", 256).alias("folded_sha256"), F.col("c.output_length").cast("long").alias("folded_length"), F.col("c.nfkc_changed").alias("changed"), F.col("c.replaced_count").cast("long").alias("replaced_count"))
 
 
 #: (text, cleaned, kinds that inspection reports): characters that mean something where they stand, and the same where they don't.

@@ -1,10 +1,17 @@
 """One row per rule of the Unicode layer."""
 
+import hashlib
+import random
+import unicodedata
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
 from provscan.functions import codepoints as cp
 from provscan.functions import unicode as U
+from provscan.plans import planted as P
+from provscan.plans import queries as Q
 
 ZWSP, ZWNJ, ZWJ, NBSP, DASH = "\u200b", "\u200c", "\u200d", "\u00a0", "\u2014"
 FLAG = "\U0001f3f4\U000e0067\U000e0062\U000e007f"
@@ -87,3 +94,35 @@ def test_options(spark):
 
 def test_usual_characters_are_never_suspect():
     assert not (cp.USUAL - cp.SUSPECT) & cp.HARD and cp.GLUE <= cp.SUSPECT
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_unmatched_is_sequence_matcher(seed, monkeypatch):
+    monkeypatch.setattr(U, "SMALL", 0)
+    rng = random.Random(seed)
+    for letters, n in (("ab", 60), ("abcdefgh ﬁＡ²…", 200), ("the Ａquickﬃ ", 300), ("Ａｂ㎥", 50)):
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
+        for b in (unicodedata.normalize("NFKC", a), "".join(rng.choice(letters) for _ in range(n))):
+            steps = SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+            assert U.unmatched(a, b) == sum(j - i for name, i, j, _, _ in steps if name != "equal")
+
+
+def test_nfkc_folds_whole_texts(spark, tmp_path):
+    """Both queries on documents with compatibility characters in their middle, against unicodedata; the matcher took minutes for the longest."""
+    middle = ["plain", "", "oﬃce x²", "Ｆｕｌｌ", "① and …", None, "straße", "é", "word ﬁ " * 4, " ".join(map(str, range(9000))) + " ﬂ" * 4]
+    texts = [None if m is None else f"begin {m} end" for m in middle]
+    docs = spark.createDataFrame([(i, "en", "s", t) for i, t in enumerate(texts, 1)], "doc_id long, lang string, source string, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    planted = {r.doc_id: r.text for r in P.docs(spark, str(tmp_path)).collect()}
+    cleaned = {r.doc_id: r.t for r in P.docs(spark, str(tmp_path)).select("doc_id", U.clean_text(F.col("text")).alias("t")).collect()}
+    for r in Q.unicode_nfkc(spark, str(tmp_path)).collect():
+        folded = unicodedata.normalize("NFKC", cleaned[r.doc_id])
+        assert r.changed == (folded != cleaned[r.doc_id])
+        assert (r.replaced_count > 0) == r.changed and (r.doc_id != 10 or r.replaced_count == 4)
+    heads = Q._COMPATIBLE
+    rows = Q.unicode_nfkc_text(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts) == len(planted)
+    for r in rows:
+        clean = U.clean_python(heads[r.doc_id % len(heads)] + planted[r.doc_id], U.Decider(U.Options()))["text"]
+        folded = unicodedata.normalize("NFKC", clean)
+        assert (r.folded_sha256, r.folded_length, r.changed) == (hashlib.sha256(folded.encode()).hexdigest(), len(folded), folded != clean)

@@ -148,7 +148,7 @@ def looks_binary(content: Column) -> Column:
         test = _starts(content, magic)
         out = F.when(test, name) if out is None else out.when(test, name)
     controls = F.length(F.translate(F.decode(head, "ISO-8859-1"), "".join(map(chr, (set(range(32)) - {9, 10, 11, 12, 13, 27}))), ""))
-    share = (F.octet_length(head) - controls) / F.octet_length(head)
+    share = F.try_divide(F.octet_length(head) - controls, F.octet_length(head))
     out = out.when(F.contains(head, F.lit(b"\0")), "binary data (contains NUL bytes)")
     return out.when(share > 0.05, "binary data (dense in control bytes)")
 

@@ -284,9 +284,19 @@ def classify_magic(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def looks_binary(spark: SparkSession, d: str) -> DataFrame:
-    """Why bytes are no text [R6, S1]."""
-    content = F.when(F.col("doc_id") % 4 == 0, _pick(_HEADS)).when(F.col("doc_id") % 4 == 1, F.concat(F.col("text").cast("binary"), F.lit(b"\0"))).when(F.col("doc_id") % 4 == 2, F.lit(b"\1\2\3\4abcdefgh")).otherwise(F.substring(F.concat(F.lit("t "), "text"), 1, 500).cast("binary"))
-    rows = P.table(spark, d, "documents", "doc_id", "text").select("doc_id", F.substring(content, 1, 600).alias("content"))
+    """Why bytes are no text, on whole contents; a NUL ends every second odd text that is short [R6, S1]."""
+    short = F.octet_length("text") < 600
+    content = F.when(F.col("doc_id") % 4 == 0, _pick(_HEADS)).when(F.col("doc_id") % 4 == 1, F.concat(F.col("text").cast("binary"), F.when(short, F.lit(b"\0")).otherwise(F.lit(b"")))).when(F.col("doc_id") % 4 == 2, F.lit(b"\1\2\3\4abcdefgh")).otherwise(F.concat(F.lit("t "), "text").cast("binary"))
+    rows = P.table(spark, d, "documents", "doc_id", "text").select("doc_id", content.alias("content"))
+    return rows.select("doc_id", formats.looks_binary(F.col("content")).alias("reason"))
+
+
+@query
+def looks_binary_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same with every document's whole text: behind a known head, before a NUL, after control bytes, or alone [R6, S1]."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    content = F.when(F.col("doc_id") % 4 == 0, F.concat(_pick(_HEADS), text)).when(F.col("doc_id") % 4 == 1, F.concat(text, F.lit(b"\0"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit(b"\1" * 20), text)).otherwise(text)
+    rows = P.table(spark, d, "documents", "doc_id", "text").select("doc_id", content.alias("content"))
     return rows.select("doc_id", formats.looks_binary(F.col("content")).alias("reason"))
 
 
@@ -459,18 +469,28 @@ def path_rules(spark: SparkSession, d: str) -> DataFrame:
 # pairs:
 
 
-def _turn_pairs(spark: SparkSession, d: str) -> DataFrame:
+def _turn_pairs(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn")
     rows = P.table(spark, d, "conversations").withColumn("after", F.lead("text").over(order))
     rows = rows.where(F.col("after").isNotNull()).withColumn("before", F.concat("text", F.lit(" see https://x.invalid/a and 42 or "), F.col("turn").cast("string")))
-    mixed = F.when(F.col("turn") % 2 == 0, F.concat("before", F.lit("\u00a0"), F.substring("after", 1, 40))).otherwise(F.col("after"))
+    mixed = F.when(F.col("turn") % 2 == 0, F.concat("before", F.lit("\u00a0"), F.col("after") if whole else F.substring("after", 1, 40))).otherwise(F.col("after"))
     return rows.select("conv_id", "turn", "before", mixed.alias("after"))
 
 
+def _quality(pairs: DataFrame) -> DataFrame:
+    return pairs.select("conv_id", "turn", pairwise.quality(F.col("before"), F.col("after")).alias("q")).select("conv_id", "turn", "q.lexical_divergence", "q.length_ratio", "q.numbers_preserved", "q.urls_preserved", "q.tokens_in", "q.tokens_out")
+
+
 @query
 def pair_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Divergence and what pairs of turns preserve [B1, B3, B4]."""
-    return _turn_pairs(spark, d).select("conv_id", "turn", pairwise.quality(F.col("before"), F.col("after")).alias("q")).select("conv_id", "turn", "q.lexical_divergence", "q.length_ratio", "q.numbers_preserved", "q.urls_preserved", "q.tokens_in", "q.tokens_out")
+    """Divergence and what pairs of turns preserve; a rewrite quotes the start of the next turn [B1, B3, B4]."""
+    return _quality(_turn_pairs(spark, d))
+
+
+@query
+def pair_quality_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same where a rewrite holds the whole next turn [B1, B3, B4]."""
+    return _quality(_turn_pairs(spark, d, whole=True))
 
 
 @query

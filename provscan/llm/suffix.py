@@ -161,10 +161,12 @@ def _coarse(block: _Block, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_batches(batches):
-    """Offset 64: rank pairs (rank, 0) of the positions least in some window."""
+    """Offset 64: rank pairs (rank, 0) of the positions least in some window. Copies of a text in one batch give theirs once."""
     forget()
     for batch in batches:
         k1, k2, texts = _keys(batch)
+        once = np.unique(np.stack([k1, k2], axis=1), axis=0, return_index=True)[1]
+        k1, k2, texts = k1[once], k2[once], [texts[i] for i in once]
         found = []
         for block in _blocks(texts):
             ranks, chosen = _coarse(block, _double(block.text, (COARSE,))[0])
@@ -306,10 +308,10 @@ def _settle(batches):
 
 
 def _sorted_round(rows: DataFrame, keep: str) -> DataFrame:
-    """Sorts rank pairs and returns (k1, k2, values): the codes kept, by text."""
+    """Sorts rank pairs and returns (k1, k2, values): the different codes kept, by text; any number of copies gives each once."""
     pairs = rows.repartition("h1").sortWithinPartitions("h1", "h2")
     settled = pairs.mapInArrow(_settle, "k1 long, k2 int, value long").where(keep)
-    return settled.groupBy("k1", "k2").agg(F.collect_list("value").alias("values"))
+    return settled.groupBy("k1", "k2").agg(F.collect_set("value").alias("values"))
 
 
 def _cover(n: int, proven: np.ndarray, windows: np.ndarray) -> np.ndarray:

@@ -498,3 +498,15 @@ def test_preference_pairs(spark):
     assert got[2]["prompt"] == "" and got[2]["rejected"] == "" and got[3]["chosen"] == got[3]["rejected"] == "" and got[3]["prompt_turns"] == 1
     assert got[5]["chosen"] == "" and got[5]["rejected_mask"] and got[4]["prompt"] == "<||>\n<|end|>\n" and got[None]["prompt_turns"] == 1
     assert preferences.format_pairs(chosen.where("false"), rejected.where("false"), "conv").count() == 0
+
+
+def test_suffix_gathers_copies_once(spark):
+    """However many rows share a text, each sampled position of it reaches the gathering buffer's list once."""
+    rng = random.Random(5)
+    text = " ".join(str(rng.randrange(10**6)) for _ in range(300))
+    df = spark.createDataFrame([(text,)] * 60 + [(text[:900] + "other " * 50,)] * 3, "text string").repartition(6)
+    keyed = suffix._keyed(df, "text").select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("text").cast("binary").alias("text"))
+    rows = suffix._sorted_round(keyed.mapInArrow(suffix._first_batches, suffix._ROWS), "value % 2 = 1").collect()
+    assert len(rows) == 2 and all(len(r["values"]) == len(set(r["values"])) > 0 for r in rows)
+    done = suffix.deduplicated(df).collect()
+    assert len(done) == 63 and all(r["__n_removed"] == r["__n_bytes"] for r in done)

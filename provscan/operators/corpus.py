@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provscan.functions import style
+from provscan.operators import ranks
 
 LARGE, SMALL = 0.8, 0.5
 Z95 = 1.96
@@ -37,14 +38,14 @@ ADVICE = {
 
 def cohens_d(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Column) -> Column:
     """(m2 - m1) over the pooled sample deviation; null where neither side varies."""
-    pooled = ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)
+    pooled = F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2)
     return F.when(pooled > 0, (m2 - m1) / F.sqrt(pooled))
 
 
 def verdict(d: Column, n1: Column, n2: Column) -> tuple[Column, Column, Column]:
     """(low, high, label): the 95 % interval of d and the band that all of it lies in, else inconclusive."""
     both = n1 + n2
-    error = F.sqrt(both / (n1 * n2) + F.pow(d, 2) / both / 2)
+    error = F.sqrt(F.try_divide(both, n1 * n2) + F.try_divide(F.pow(d, 2), both) / 2)
     low, high = d - Z95 * error, d + Z95 * error
     band = lambda x: F.when(x >= LARGE, "sufficient").when(x >= SMALL, "inconclusive").otherwise("insufficient")
     return low, high, F.when(band(low) == band(high), band(low)).otherwise("inconclusive")
@@ -53,37 +54,34 @@ def verdict(d: Column, n1: Column, n2: Column) -> tuple[Column, Column, Column]:
 def effect(scores: DataFrame, side: str, value: str, first, second) -> DataFrame:
     """One row: sizes, means, Cohen's d with its interval and label, AUC, and whether each side has enough.
 
-    AUC is computed from average ranks: values are counted per side first, so
-    ties, however many, are one row, and only distinct values are ordered.
+    AUC and medians come from exact ranks: values are counted per side first,
+    so ties, however many, are one row, and only different values are ordered,
+    in buckets (``ranks.running``) whose bounds are taken in a pass of its own
+    before the query runs. Rows with a null value or another side are passed
+    over; without rows of a side what needs it is null.
     """
     rows = scores.where(F.col(side).isin(first, second) & F.col(value).isNotNull()).select((F.col(side) == second).alias("s"), F.col(value).cast("double").alias("x"))
     one, two = F.when(~F.col("s"), F.col("x")), F.when(F.col("s"), F.col("x"))
-    moments = rows.agg(*(f(c).alias(f"{name}{i}") for i, c in ((1, one), (2, two)) for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp), ("lo", F.min), ("mid", F.median), ("hi", F.max))))
+    moments = rows.agg(*(f(c).alias(f"{name}{i}") for i, c in ((1, one), (2, two)) for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp), ("lo", F.min), ("hi", F.max))))
     at = rows.groupBy("x").agg(F.count_if(~F.col("s")).alias("a"), F.count_if("s").alias("b"))
-    wins = running(at, "x", "a").agg(F.sum(F.col("b") * (F.col("before") + F.col("a") / 2)).alias("wins"))
+    ranked = ranks.running(at, "x", ["a", "b"], ranks.bounds_of(rows, "x"))
+    wins = F.sum(F.col("b") * (F.col("before_a") + F.col("a") / 2))
+    placed = ranked.agg(wins.alias("wins"), ranks.median("x", "a").alias("mid1"), ranks.median("x", "b").alias("mid2"))  # one row
     d = cohens_d(F.col("n1"), F.col("m1"), F.col("v1"), F.col("n2"), F.col("m2"), F.col("v2"))
-    with_d = moments.withColumns({"cohens_d": d, "wins": wins.scalar()})
+    with_d = moments.withColumns({"cohens_d": d, "p": placed.select(F.struct("wins", "mid1", "mid2")).scalar()}).select("*", "p.*")
     low, high, label = verdict(F.col("cohens_d"), F.col("n1"), F.col("n2"))
+    pairs = F.col("n1") * F.col("n2")
     return with_d.select(
         "n1", "n2",
         F.col("m1").alias("mean1"), F.col("m2").alias("mean2"),
         F.col("mid1").alias("median1"), F.col("mid2").alias("median2"),
         F.col("lo1").alias("min1"), F.col("hi1").alias("max1"), F.col("lo2").alias("min2"), F.col("hi2").alias("max2"),
         "cohens_d", low.alias("d_low"), high.alias("d_high"), label.alias("verdict"),
-        (F.col("wins") / (F.col("n1") * F.col("n2"))).alias("auc"),
+        F.when(pairs > 0, F.col("wins") / pairs).alias("auc"),
         ((F.col("n1") >= MIN_SIDE) & (F.col("n2") >= MIN_SIDE)).alias("enough"),
     )
 
 
-def running(at: DataFrame, order: str, count: str, buckets: int = 64) -> DataFrame:
-    """``at`` with ``before``: the sum of ``count`` over rows of lesser ``order``, in two steps so that no task orders them all."""
-    ranged = at.repartitionByRange(buckets, order).withColumn("__p", F.spark_partition_id())
-    totals = ranged.groupBy("__p").agg(F.sum(count).alias("__t"))  # one row a bucket
-    offsets = totals.select("__p", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-    inside = F.coalesce(F.sum(count).over(Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("__i", inside).join(F.broadcast(offsets), "__p").withColumn("before", F.col("__o") + F.col("__i")).drop("__p", "__i", "__o")
-
-
 def pair_up(before: DataFrame, after: DataFrame, path: str = "path") -> DataFrame:
     """(path, before, after): structs of the rows of both sides that share a path."""
     pack = lambda df, name: df.select(F.col(path), F.struct(*(c for c in df.columns if c != path)).alias(name))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provscan.operators import ranks
+
 SHORT = 50  #: stripped characters below which a sample is excluded
 
 
@@ -99,7 +101,10 @@ def variants(docs: DataFrame, seeds: list[int], rewrites: list[str], restamp: bo
 def by_variant(rows: DataFrame) -> DataFrame:
     """Aggregates benchmark rows (variant, before_pos, after_pos, cleared, score_before, score_after, quality, attempts, seconds, usd, notes).
 
-    The median is the upper one: the element at n // 2 of the sorted deltas.
+    The median is the upper one: the element at n // 2 of the sorted deltas. It
+    comes from counts of different deltas, ordered in buckets, so that no task
+    sees all rows of a variant. Null deltas are passed over; an empty table
+    gives an empty result.
     """
     delta = F.col("score_before") - F.col("score_after")
     mean = lambda c, places=4: F.round(F.avg(c), places)
@@ -111,7 +116,6 @@ def by_variant(rows: DataFrame) -> DataFrame:
         mean("score_before").alias("mean_score_before"),
         mean("score_after").alias("mean_score_after"),
         mean(delta).alias("mean_score_delta"),
-        F.count(delta).alias("__deltas"),
         mean("quality.lexical_divergence").alias("mean_lexical_divergence"),
         mean("quality.length_ratio").alias("mean_length_ratio"),
         mean("quality.numbers_preserved").alias("mean_numbers_preserved"),
@@ -120,18 +124,20 @@ def by_variant(rows: DataFrame) -> DataFrame:
         mean("attempts", 2).alias("mean_attempts"),
         mean("seconds", 2).alias("mean_seconds"),
         F.round(F.sum(F.coalesce("usd", F.lit(0.0))), 6).alias("est_usd"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("notes")))).alias("notes"),
     )
-    # The upper median by rank, without gathering a variant's deltas into one value.
-    ranked = rows.where(delta.isNotNull()).withColumn("__r", F.row_number().over(Window.partitionBy("variant").orderBy(delta)) - 1)
-    middle = ranked.join(found.select("variant", "__deltas"), "variant").where(F.col("__r") == F.floor(F.col("__deltas") / 2)).select("variant", F.round(delta, 4).alias("median_score_delta"))
+    deltas = rows.where(delta.isNotNull() & F.col("variant").isNotNull()).select("variant", delta.cast("double").alias("d"))
+    counted = deltas.groupBy("variant", "d").agg(F.count("*").alias("k"))
+    ranked = ranks.running(counted, "d", ["k"], ranks.bounds_of(deltas, "d"), ["variant"])
+    middle = ranked.groupBy("variant").agg(F.round(ranks.element("d", "k", F.floor(F.col("all_k") / 2)), 4).alias("median_score_delta"))
+    said = rows.select("variant", F.explode("notes").alias("note")).distinct().groupBy("variant").agg(F.sort_array(F.collect_list("note")).alias("notes"))  # as long as the result is
     rate = F.when(F.col("before_positive") > 0, F.col("cleared") / F.col("before_positive"))
-    joined = found.join(middle, "variant", "left").withColumns(
+    joined = found.join(middle, "variant", "left").join(said, "variant", "left").withColumns(
         {
+            "notes": F.coalesce("notes", F.array().cast("array<string>")),
             "clear_rate": F.round(rate, 4),
             "mean_tokens_in": F.round("__in"),
             "mean_tokens_out": F.round("__out"),
             "clears_per_mtok_out": F.when(F.col("__out") > 0, F.round(rate / (F.col("__out") / 1e6), 2)),
         }
     )
-    return joined.drop("__deltas", "__in", "__out")
+    return joined.drop("__in", "__out")

@@ -10,6 +10,7 @@ the frames just before it did.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -24,6 +25,7 @@ LINE = 64  #: samples in a line of a frame that holds a payload
 LINES = 32  #: lines in such a frame; the last may have fewer
 FPS = 25
 BINS = 16
+MAX_SAMPLES = 1 << 26  #: a frame that says it has more gives an error row
 #: Code lengths for the categories 0..8 of differences between neighbouring bytes: short where text puts them.
 LENGTHS = (4, 5, 4, 3, 2, 2, 4, 5, 7)
 
@@ -176,19 +178,24 @@ class Video:
 
 
 def parse_avi(data: bytes) -> Video:
-    """Headers and the frames of the first video stream, by idx1 where there is one, else by walking movi."""
+    """Headers and the frames of the first video stream.
+
+    Frames of the first movi list go by idx1 where there is one, else by walking
+    the list; the lists of further RIFF AVIX segments are walked, as idx1 does
+    not cover them.
+    """
     view = memoryview(data)
     if len(data) < 12 or view[:4] != b"RIFF" or view[8:12] != b"AVI ":
         raise MediaError("not a RIFF AVI file")
-    found: dict = {"streams": [], "rate": None}
+    found: dict = {"streams": [], "rate": None, "movi": []}
 
     def walk(at: int, end: int) -> None:
         while at + 8 <= end:
             name, size = bytes(view[at : at + 4]), int.from_bytes(view[at + 4 : at + 8], "little")
             body, stop = at + 8, min(at + 8 + size, end)
             if name == b"LIST" and view[body : body + 4] == b"movi":
-                found.setdefault("movi", (body, stop))
-            elif name == b"LIST":
+                found["movi"].append((body, stop))
+            elif name == b"LIST" or (name == b"RIFF" and view[body : body + 4] == b"AVIX"):
                 walk(body + 4, stop)
             elif name == b"avih" and size >= 40:
                 micro, = struct.unpack_from("<I", data, body)
@@ -198,26 +205,30 @@ def parse_avi(data: bytes) -> Video:
                 scale, rate = struct.unpack_from("<II", data, body + 20)
                 found["streams"].append((bytes(view[body : body + 4]), scale / rate if rate else None))
             elif name == b"idx1":
-                found["idx1"] = (body, stop)
+                found.setdefault("idx1", (body, stop))
             at = body + size + (size & 1)
 
-    walk(12, len(data))
-    if "movi" not in found:
+    whole = 8 + int.from_bytes(view[4:8], "little")
+    if not 12 <= whole <= len(data):  # a size that a writer left open
+        whole = len(data)
+    walk(12, whole)
+    walk(whole + (whole & 1), len(data))
+    if not found["movi"]:
         raise MediaError("no movi list")
     video = next((k for k, (kind, _) in enumerate(found["streams"]) if kind == b"vids"), 0)
     wanted = (b"%02ddc" % video, b"%02ddb" % video)
-    start, end = found["movi"]
     frames = []
-    if "idx1" in found:
-        a, b = found["idx1"]
-        base = None
-        for name, _, offset, size in struct.iter_unpack("<4sIII", view[a : a + (b - a) // 16 * 16]):
-            if name in wanted:
-                if base is None:  # offsets count from the list's name, or from the file's start
-                    base = start if view[start + offset : start + offset + 4] == name else 0
-                at = base + offset + 8
-                frames.append(view[at : at + size])
-    else:
+    for segment, (start, end) in enumerate(found["movi"]):
+        if segment == 0 and "idx1" in found:
+            a, b = found["idx1"]
+            base = None
+            for name, _, offset, size in struct.iter_unpack("<4sIII", view[a : a + (b - a) // 16 * 16]):
+                if name in wanted:
+                    if base is None:  # offsets count from the list's name, or from the file's start
+                        base = start if view[start + offset : start + offset + 4] == name else 0
+                    at = base + offset + 8
+                    frames.append(view[at : at + size])
+            continue
         at = start + 4
         while at + 8 <= end:
             name, size = bytes(view[at : at + 4]), int.from_bytes(view[at + 4 : at + 8], "little")
@@ -287,6 +298,8 @@ def parse_jpeg(frame) -> _Jpeg:
             while body:
                 wide, k = body[0] >> 4, body[0] & 15
                 n = 128 if wide else 64
+                if len(body) <= n:
+                    raise MediaError("a quantisation table that ends early")
                 quant[k] = np.frombuffer(body[1 : 1 + n], ">u2" if wide else np.uint8).astype(np.float64)
                 body = body[1 + n :]
         elif mark == 0xC4:
@@ -307,11 +320,28 @@ def parse_jpeg(frame) -> _Jpeg:
             if sof is None:
                 raise MediaError("a scan before its frame header")
             ids = [c[0] for c in sof[4]]
-            scan = [(ids.index(body[1 + 2 * k]), body[2 + 2 * k]) for k in range(body[0])]
-            return _Jpeg(*sof, quant, tables, restart, scan, body[1 + 2 * body[0]], frame[at + 2 + size :])
+            named = [(body[1 + 2 * k], body[2 + 2 * k]) for k in range(body[0])]
+            if not named or any(i not in ids for i, _ in named):
+                raise MediaError("a scan of components that the frame lacks")
+            scan = [(ids.index(i), t) for i, t in named]
+            return _checked(_Jpeg(*sof, quant, tables, restart, scan, body[1 + 2 * body[0]], frame[at + 2 + size :]))
         at += 2 + size
 
 
+def _checked(j: _Jpeg) -> _Jpeg:
+    """``j`` if its header can be true: sizes that its scan can hold bound what decoding allocates."""
+    if not (j.width and j.height and j.components):
+        raise MediaError("a frame without samples")
+    if not 2 <= j.precision <= 16 or any(not (1 <= h <= 4 and 1 <= v <= 4) for _, h, v, _ in j.components):
+        raise MediaError("a precision or sampling factor out of range")
+    samples = j.width * j.height
+    # Each sample of a lossless scan, and each block of 64 in a DCT scan, takes at least a bit, or two.
+    least = samples if j.process == 0xC3 else samples // 32
+    if least > 8 * (len(j.data) + 64) or samples > MAX_SAMPLES:
+        raise MediaError(f"{j.width} x {j.height} samples in a scan of {len(j.data)} bytes")
+    return j
+
+
 # decoding:
 
 
@@ -352,41 +382,46 @@ def _lossless_lines(scans: list, width: int, table: np.ndarray) -> tuple[np.ndar
     return np.cumsum(steps, axis=1, dtype=np.int16).astype(np.uint8), of
 
 
-class _Bits:
-    """Bits of one restart interval, most significant first."""
-
-    def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data), len(data) * 8
-
-    def peek(self, n: int) -> int:
-        return (self.value >> self.left - n if self.left >= n else self.value << n - self.left) & (1 << n) - 1
-
-    def take(self, n: int) -> int:
-        got = self.peek(n)
-        self.left -= n
-        if self.left < -64:
-            raise MediaError("a scan that ends early")
-        self.value &= (1 << max(self.left, 0)) - 1
-        return got
-
-
-def _tree(lengths: dict[int, int]) -> dict[tuple[int, int], int]:
-    return {(n, code): symbol for symbol, (code, n) in _codes(lengths).items()}
-
-
-def _symbol(bits: _Bits, tree: dict) -> int:
-    for n in range(1, 17):
-        if (symbol := tree.get((n, bits.peek(n)))) is not None:
-            bits.take(n)
-            return symbol
-    raise MediaError("a code that no table has")
+def _prefixes(lengths: dict[int, int]) -> np.ndarray:
+    """By the next 16 bits: bits of the code << 8 | symbol, or 0 where no code fits."""
+    table = np.zeros(1 << 16, np.int32)
+    for symbol, (code, n) in _codes(lengths).items():
+        if n > 16 or code >> n:
+            raise MediaError("a Huffman table with too many codes")
+        table[code << 16 - n : code + 1 << 16 - n] = n << 8 | symbol
+    return table
 
 
-def _signed(bits: _Bits, size: int) -> int:
+@functools.lru_cache(64)
+def _steps(lengths: tuple[tuple[int, int], ...]) -> tuple[list[int], list[int]]:
+    """(by the next 16 bits: code and extra bits << 24 | symbol << 16 | value + 32768, or 0 where these need more; _prefixes)."""
+    short = _prefixes(dict(lengths))
+    n, symbol = short >> 8, short & 255
+    size = symbol & 15
+    total = n + size
+    extra = (np.arange(1 << 16) >> np.maximum(16 - total, 0)) & (1 << size) - 1
+    value = np.where(size == 0, 0, np.where(extra >> np.maximum(size - 1, 0) & 1, extra, extra - (1 << size) + 1))
+    whole = np.where((n > 0) & (total <= 16), total.astype(np.int64) << 24 | symbol << 16 | value + 32768, 0)
+    return whole.tolist(), short.tolist()
+
+
+def _windows(piece: bytes) -> list[int]:
+    """The 32 bits from each byte of a restart interval on; zeros follow its end."""
+    b = np.frombuffer(piece + b"\0" * 12, np.uint8).astype(np.uint32)
+    return (b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]).tolist()
+
+
+def _long(windows: list[int], at: int, short: list[int]) -> tuple[int, int, int]:
+    """(bit after it, symbol, value) of a code whose extra bits reach beyond 16."""
+    found = short[windows[at >> 3] >> 16 - (at & 7) & 0xFFFF]
+    if not found:
+        raise MediaError("a code that no table has")
+    at += found >> 8
+    symbol, size = found & 255, found & 15
     if not size:
-        return 0
-    got = bits.take(size)
-    return got if got >> size - 1 else got - (1 << size) + 1
+        return at, symbol, 0
+    extra = windows[at >> 3] >> 32 - size - (at & 7) & (1 << size) - 1
+    return at + size, symbol, extra if extra >> size - 1 else extra - (1 << size) + 1
 
 
 _ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
@@ -400,67 +435,117 @@ def _pieces(scan) -> list[bytes]:
 
 
 def _baseline(j: _Jpeg) -> np.ndarray:
-    """Luma (the first component) of a sequential DCT image, as uint8 lines."""
+    """Luma (the first component) of a sequential DCT image, as uint8 lines; one line of units is held as blocks at a time."""
     h_max, v_max = max(c[1] for c in j.components), max(c[2] for c in j.components)
     if len(j.scan) == 1:  # not interleaved: a unit is one block
         h_max = v_max = 1
         parts = [(j.scan[0][0], 1, 1, j.scan[0][1])]
     else:
         parts = [(i, j.components[i][1], j.components[i][2], t) for i, t in j.scan]
+    if all(i for i, *_ in parts):
+        raise MediaError("a scan without luma")
     across, down = -(-j.width // (8 * h_max)), -(-j.height // (8 * v_max))
-    trees = {k: _tree(v) for k, v in j.tables.items()}
+    tables = {k: _steps(tuple(t.items())) for k, t in j.tables.items()}
     h, v = next((h, v) for i, h, v, _ in parts if i == 0)
-    blocks = np.zeros((down * v, across * h, 64))
-    each = j.restart or across * down
-    for first, piece in zip(range(0, across * down, each), _pieces(j.data)):
-        bits, last = _Bits(piece), [0] * len(j.components)
-        for unit in range(first, min(first + each, across * down)):
-            for i, wide, high, t in parts:
-                dc, ac = trees[t >> 4], trees[0x10 | t & 15]
-                for k in range(wide * high):
-                    last[i] += _signed(bits, _symbol(bits, dc))
-                    block = blocks[unit // across * v + k // wide, unit % across * h + k % wide] if i == 0 else None
-                    if block is not None:
-                        block[0] = last[i]
-                    at = 1
-                    while at < 64:
-                        symbol = _symbol(bits, ac)
-                        if symbol == 0:
-                            break
-                        at += symbol >> 4
-                        if symbol & 15:
-                            value = _signed(bits, symbol & 15)
-                            if block is not None and at < 64:
-                                block[_ZIGZAG[at]] = value
-                        at += 1
+    if j.components[0][3] not in j.quant:
+        raise MediaError("a frame without its quantisation table")
     quant = np.ones(64)
     quant[_ZIGZAG] = j.quant[j.components[0][3]]
-    cells = (blocks * quant).reshape(down * v, across * h, 8, 8)
-    pixels = np.einsum("yu,abuv,xv->abyx", _COSINES, cells, _COSINES) + 128
-    image = pixels.transpose(0, 2, 1, 3).reshape(down * v * 8, across * h * 8)
+    image = np.empty((down * v * 8, across * h * 8), np.uint8)
+    places: list[int] = []
+    values: list[int] = []
+    zigzag = [*_ZIGZAG, *[64] * 256]
+
+    def finish(line: int) -> None:
+        blocks = np.zeros(v * across * h * 64)
+        blocks[places] = values
+        cells = (blocks.reshape(-1, 64) * quant).reshape(v, across * h, 8, 8)
+        pixels = _COSINES @ cells @ _COSINES.T + 128
+        lines = np.clip(np.rint(pixels), 0, 255).astype(np.uint8).transpose(0, 2, 1, 3)
+        image[line * v * 8 : (line + 1) * v * 8] = lines.reshape(v * 8, -1)
+        places.clear()
+        values.clear()
+
+    # What each unit is made of: (component, block of it in the line of units, DC tables, AC tables).
+    order = [(i, k // wide * across * h + k % wide, tables[t >> 4], tables[0x10 | t & 15]) for i, wide, high, t in parts for k in range(wide * high)]
+    units, each = across * down, j.restart or across * down
+    pieces = _pieces(j.data)
+    for first, piece in zip(range(0, units, each), pieces):
+        windows, at, end = _windows(piece), 0, len(piece) * 8
+        last = [0] * len(j.components)
+        for unit in range(first, min(first + each, units)):
+            column = unit % across
+            for i, block, (dc, dc_short), (ac, ac_short) in order:
+                got = dc[windows[at >> 3] >> 16 - (at & 7) & 0xFFFF]
+                if got:
+                    at += got >> 24
+                    last[i] += (got & 0xFFFF) - 32768
+                else:
+                    at, _, step = _long(windows, at, dc_short)
+                    last[i] += step
+                base = (block + column * h) * 64
+                if i == 0:
+                    places.append(base)
+                    values.append(last[0])
+                k = 1
+                while k < 64:
+                    got = ac[windows[at >> 3] >> 16 - (at & 7) & 0xFFFF]
+                    if got:
+                        at += got >> 24
+                        symbol, value = got >> 16 & 255, (got & 0xFFFF) - 32768
+                    else:
+                        at, symbol, value = _long(windows, at, ac_short)
+                    if not symbol:
+                        break
+                    k += symbol >> 4
+                    if i == 0 and value and k < 64:
+                        places.append(base + zigzag[k])
+                        values.append(value)
+                    k += 1
+                if at > end + 16:
+                    raise MediaError("a scan that ends early")
+            if column == across - 1:
+                finish(unit // across)
+    if len(pieces) * each < units:
+        raise MediaError("a scan that ends early")
     height, width = -(-j.height * v // v_max), -(-j.width * h // h_max)
-    return np.clip(np.rint(image), 0, 255).astype(np.uint8)[:height, :width]
+    return image[:height, :width]
 
 
 def _lossless(j: _Jpeg) -> np.ndarray:
     """One-component lossless image of any predictor and restart interval."""
-    tree = _tree(j.tables[j.scan[0][1] >> 4])
-    out = np.zeros((j.height, j.width), np.int64)
+    whole, short = _steps(tuple((s, n) for s, n in j.tables[j.scan[0][1] >> 4].items()))
+    if not 1 <= j.predictor <= 7 or j.restart % j.width:
+        raise MediaError("a lossless predictor or restart interval out of range")
+    out = np.empty((j.height, j.width), np.uint16)
     rows = j.restart // j.width if j.restart else j.height
-    for top, piece in zip(range(0, j.height, rows), _pieces(j.data)):
-        bits = _Bits(piece)
+    pieces = _pieces(j.data)
+    if len(pieces) * rows < j.height:
+        raise MediaError("a scan that ends early")
+    for top, piece in zip(range(0, j.height, rows), pieces):
+        windows, at, end = _windows(piece), 0, len(piece) * 8
+        above: list[int] = []
         for y in range(top, min(top + rows, j.height)):
+            line: list[int] = []
             for x in range(j.width):
-                left = int(out[y, x - 1]) if x else None
                 if y == top:
-                    guess = 1 << j.precision - 1 if left is None else left
-                elif left is None:
-                    guess = int(out[y - 1, x])
+                    guess = line[-1] if x else 1 << j.precision - 1
+                elif not x:
+                    guess = above[0]
                 else:
-                    up, corner = int(out[y - 1, x]), int(out[y - 1, x - 1])
+                    left, up, corner = line[-1], above[x], above[x - 1]
                     guess = (left, up, corner, left + up - corner, left + (up - corner >> 1), up + (left - corner >> 1), left + up >> 1)[j.predictor - 1]
-                size = _symbol(bits, tree)
-                out[y, x] = guess + (32768 if size == 16 else _signed(bits, size)) & 0xFFFF
+                found = short[windows[at >> 3] >> 16 - (at & 7) & 0xFFFF]
+                if found & 255 == 16:  # the one difference without extra bits
+                    at, step = at + (found >> 8), 32768
+                elif got := whole[windows[at >> 3] >> 16 - (at & 7) & 0xFFFF]:
+                    at, step = at + (got >> 24), (got & 0xFFFF) - 32768
+                else:
+                    at, _, step = _long(windows, at, short)
+                line.append(guess + step & 0xFFFF)
+            if at > end + 16:
+                raise MediaError("a scan that ends early")
+            out[y] = above = line
     return (out >> max(j.precision - 8, 0)).astype(np.uint8)
 
 
@@ -537,7 +622,7 @@ def _clip_batches(batches):
         for k, data in enumerate(batch.column(1).to_pylist()):
             try:
                 found = [(*c, None) for c in _clips(data or b"")]
-            except (MediaError, IndexError, KeyError, struct.error) as e:
+            except (ValueError, IndexError, KeyError, ArithmeticError, MemoryError, struct.error) as e:
                 found = [(None, None, None, None, None, f"{type(e).__name__}: {e}")]
             rows += found
             of += [k] * len(found)
@@ -550,8 +635,9 @@ def _clip_batches(batches):
 def clips(media: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
     """(id, clip, first_frame, end_frame, start_s, end_s, error): one row per shot of each AVI file.
 
-    A file without frames has no rows. A null, empty or damaged file has one
-    row with nulls and what was wrong with it. Ids may be null or repeated; an
+    A file without frames has no rows. A null, empty or damaged file, and one
+    with a frame of over MAX_SAMPLES samples, has one row with nulls and what
+    was wrong with it; other files are not touched by that. Ids may be null or repeated; an
     empty table gives an empty result; only the two named columns are read.
     """
     kind = media.schema[id_col].dataType.simpleString()

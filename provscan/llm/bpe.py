@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 END = "</w>"
 CACHE_WORDS = 800_000  #: words and chunks that a worker remembers before it starts afresh
+DECODE_IDS = 1 << 18  #: ids that are decoded together
 
 
 def _byte_letters() -> list[str]:
@@ -94,11 +95,10 @@ class Vocabulary:
                     self.shorter[i] = by_spelling[s[:n]]
                     break
         self.compatible: dict[tuple[int, int], bool] = {}
-        # Decoding: all token texts end to end, and where each starts.
-        pieces = [t.encode() for t in self.text]
-        self.blob = b"".join(pieces)
+        # Decoding: all token texts end to end, a space after each, and where each starts.
+        pieces = [t.encode() + b" " * bool(t) for t in self.text]
+        self.blob = np.frombuffer(b"".join(pieces), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-        self._pieces = pieces
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the text of both from scratch leaves these two tokens."""
@@ -153,8 +153,33 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of ids as the library joins them where a vocabulary names no decoder: by single spaces."""
-        pieces = self._pieces
-        return b" ".join([pieces[i] for i in ids]).decode()
+        return self.decode_many([np.asarray(ids, np.int64)])[0].decode()
+
+    def decode_many(self, rows: list[np.ndarray]) -> list[bytes]:
+        """The UTF-8 text of each array of ids, gathered from the blob by the offset table; ids without a token add nothing."""
+        out: list[bytes] = []
+        some: list[np.ndarray] = []
+        size = 0
+        for ids in rows:
+            some.append(ids)
+            size += len(ids)
+            if size > DECODE_IDS:
+                out += self._gather(some)
+                some, size = [], 0
+        return out + self._gather(some)
+
+    def _gather(self, rows: list[np.ndarray]) -> list[bytes]:
+        if not rows:
+            return []
+        ids = np.concatenate(rows).astype(np.int64)
+        known = (ids >= 0) & (ids < len(self.text))
+        ids = np.where(known, ids, 0)
+        starts = self.offsets[ids]
+        sizes = np.where(known, self.offsets[ids + 1] - starts, 0)
+        stops = np.cumsum(sizes)
+        text = self.blob[np.repeat(starts - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)].tobytes()
+        bounds = np.concatenate([[0], stops])[np.cumsum([0, *map(len, rows)])].tolist()
+        return [text[a : b - 1] if b > a else b"" for a, b in zip(bounds, bounds[1:])]
 
 
 #: Texts of these characters only are lower-cased and split by Python, which agrees with the library on them; others are split by the library itself.
@@ -293,10 +318,9 @@ def _digest_batches(path: str):
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            rows = []
-            for ids in enc.encode_many([t or "" for t in batch.column(1).to_pylist()]):
-                shown = enc.v.decode(np.frombuffer(ids, "<u4").tolist())
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(shown.encode()).hexdigest()))
+            encoded = enc.encode_many([t or "" for t in batch.column(1).to_pylist()])
+            shown = enc.v.decode_many([np.frombuffer(ids, "<u4") for ids in encoded])
+            rows = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()) for ids, text in zip(encoded, shown)]
             n, a, b = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -317,8 +341,10 @@ def _decode_batches(path: str):
     def run(batches):
         v = vocabulary(path)
         for batch in batches:
-            texts = [None if ids is None else v.decode(ids) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+            listed = batch.column(1).to_pylist()
+            texts = v.decode_many([np.array([i for i in ids or () if i is not None], np.int64) for ids in listed])
+            shown = [None if ids is None else t.decode() for ids, t in zip(listed, texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shown, pa.string())], names=["id", "text"])
 
     return run
 
@@ -333,7 +359,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) per row; null ids give a null text, no ids an empty one."""
+    """(id, text) per row, read from the vocabulary's offset table.
+
+    A null array gives a null text, no ids an empty one; null ids and ids that
+    the vocabulary lacks add nothing. Ids of rows may be null or repeated; an
+    empty table gives an empty result; only the two named columns are read.
+    """
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(_decode_batches(path), _schema(encoded, id_col, "text string"))
 
 

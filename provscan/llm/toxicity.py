@@ -12,7 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 20  #: coordinates: 2**BITS hashed features, and one more for the bias
@@ -79,14 +79,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """(indices, weights) learnt from at most ``max_rows`` labelled rows that are not held out, least hash of the id first.
 
     Rows whose label or id is null are passed over; of several labels of one id
-    the greatest counts. Without labelled rows the model is empty and scores 0.5.
+    the greatest counts, of several documents of one id the one whose text has
+    the least hash, so ``max_rows`` bounds what the one fitting task reads,
+    however often an id is repeated. Without labelled rows the model is empty
+    and scores 0.5.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
     order = F.xxhash64("__id", F.lit("fit"))
     sample = known.orderBy(order, "__id").limit(max_rows)  # bounded, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text"))
-    rows = texts.join(F.broadcast(sample), "__id").select(order.alias("at"), F.col("__label").alias("label"), "__text")
+    held = texts.join(F.broadcast(sample), "__id")
+    # Cut to one row an id in the map tasks already, before texts are shuffled.
+    first = Window.partitionBy("__id").orderBy(F.xxhash64("__text"), "__text")
+    held = held.withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    rows = held.select(order.alias("at"), F.col("__label").alias("label"), "__text")
     featured = rows.mapInArrow(_feature_batches, "at long, label int, features array<int>")
     model = featured.repartition(1).sortWithinPartitions("at").mapInArrow(_fit_batches, "index long, weight double").toPandas()
     return model["index"].to_numpy(), model["weight"].to_numpy()

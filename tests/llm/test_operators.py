@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import struct
 import time
 import zlib
@@ -554,13 +555,105 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in rows} <= {"allow", "block"} and urls.judge(df.where("false")).count() == 0
 
 
-def test_templates_learn_from_labels(spark):
-    rows = [(f"http://shop.example.com/de/item/{i}", None) for i in range(60)] + [(f"http://shop.example.com/sale/{i}x{i}", None) for i in range(40)] + [(f"http://news.example.com/fr/{i}", None) for i in range(30)] + [(f"http://news.example.com/en/{i}", None) for i in range(5)]
-    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id int, url string")
-    verdicts = {r["path"]: (r["rule"], r["verdict"]) for r in urls.judge(df).collect()}
-    assert verdicts["/sale/1x1"] == (None, "block") and verdicts["/en/1"] == (None, "allow")
-    shaped = urls.templates(urls.shapes(df.select(F.lit("h").alias("host"), F.split(F.regexp_replace(urls.path_of(F.col("url")), "^/", ""), "/").alias("shape"), F.lit(None).cast("string").alias("verdict"))))
-    assert {tuple(r["template"]) for r in shaped.collect()} >= {("sale", "*"), ("de", "item", "*"), ("fr", "*")}
+def plain_judge(pages):
+    """Templates and verdicts of [(url)] as the tree is described: (templates by (host, shape), verdict per page)."""
+
+    def kind(segment):
+        for pattern, name in ((r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(\.|$)", "<date>"), (r"^[0-9]+(\.|$)", "<number>"), (r"^[0-9a-f-]{16,}(\.|$)", "<hex>")):
+            segment = re.sub(pattern, lambda m, n=name: n + m[1], segment)
+        return "<star>" if segment == "*" else segment
+
+    parsed = [plain_rule(u) for u in pages]
+    shape = lambda path: tuple(map(kind, path.removeprefix("/").split("/")))
+    made = {(h, shape(p)): () for h, p, _ in parsed}
+    for level in range(max((len(s) for _, s in made), default=0)):
+        below: dict = {}
+        for (h, s), m in made.items():
+            if len(s) > level:
+                below.setdefault((h, m), {}).setdefault(s[level], set()).add(s[level + 1] if len(s) > level + 1 else "<end>")
+        for (h, s), m in made.items():
+            if len(s) > level:
+                kids = below[h, m]
+                wild = len(kids) >= 8 and sum(map(len, kids.values())) <= len(kids) * math.sqrt(len(kids))
+                made[h, s] = (*m, "*" if wild else s[level])
+    counts: dict = {}
+    for h, p, rule in parsed:
+        c = counts.setdefault((h, made[h, shape(p)]), [0, 0])
+        if rule:
+            c[0] += 1
+            c[1] += rule[0] == "block"
+    smooth = lambda bad, known, prior: (bad + 10 * prior) / (known + 10)
+    everything = smooth(sum(b for _, b in counts.values()), sum(k for k, _ in counts.values()), 0.5)
+    shares: dict = {}
+
+    def descend(names, level, prior):
+        children: dict = {}
+        for h, t in names:
+            children.setdefault(t[level] if len(t) > level else None, []).append((h, t))
+        sums = {c: (sum(counts[n][0] for n in group), sum(counts[n][1] for n in group)) for c, group in children.items()}
+        pools = [[c for c in children if not sums[c][0]]]
+        last = None
+        for c in sorted((c for c in children if sums[c][0]), key=lambda c: (sums[c][1] / sums[c][0], c or "<end>")):
+            k, b = sums[c]
+            if last is None:
+                pools.append([])
+            else:
+                k0, b0 = sums[last]
+                p = (b + b0) / (k + k0)
+                if abs(b / k - b0 / k0) > 1.96 * math.sqrt(p * (1 - p) * (1 / k + 1 / k0)):
+                    pools.append([])
+            pools[-1].append(c)
+            last = c
+        for pool in pools:
+            share = smooth(sum(sums[c][1] for c in pool), sum(sums[c][0] for c in pool), prior)
+            for n in children[None] if None in pool else ():
+                shares[n] = share
+            rest = [n for c in pool if c is not None for n in children[c]]
+            if rest:
+                descend(rest, level + 1, share)
+
+    for host in {h for h, _ in counts}:
+        names = [n for n in counts if n[0] == host]
+        descend(names, 0, smooth(sum(counts[n][1] for n in names), sum(counts[n][0] for n in names), everything))
+    verdicts = [rule[0] if rule else "block" if shares[h, made[h, shape(p)]] > 0.5 else "allow" for h, p, rule in parsed]
+    return made, verdicts
+
+
+def learnt_templates(spark, addresses):
+    df = spark.createDataFrame([(u,) for u in addresses], "url string")
+    rows = df.select(urls.host_of(F.col("url")).alias("host"), urls.shape_of(urls.path_of(F.col("url"))).alias("shape"), F.lit(None).cast("string").alias("verdict"))
+    return {(r["host"], tuple(r["shape"])): tuple(r["template"]) for r in urls.templates(urls.shapes(rows), Scratch(spark, "test")).collect()}
+
+
+def test_templates_below_a_wildcard(spark):
+    names = [f"n{k}x" for k in range(60)]
+    pages = [f"http://a.com/u/{n}/p/{n}-{j}" for n in names for j in range(3)] + [f"http://a.com/s{k}/item/{n}" for k in range(4) for n in names]
+    got = set(learnt_templates(spark, pages * 2).values())
+    assert got == {("u", "*", "p", "*"), *((f"s{k}", "item", "*") for k in range(4))}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_verdicts_against_a_plain_learner(spark, seed):
+    rng = random.Random(seed)
+    hosts = ["x.com", "y.example.org", "a.net", ""]
+    tops = ["de", "fr", "en", "es", "u", "tag", "*", ""]
+    word = lambda n: rng.choice("abcdefgh") + str(rng.randrange(n)) + "z"
+    pages = []
+    for _ in range(900):
+        parts = [rng.choice(tops), *(word(rng.choice([3, 40])) if rng.random() < 0.8 else rng.choice(["2024-01-02", "17", "17.html", "0123456789abcdef0"]) for _ in range(rng.randint(0, 4)))]
+        pages.append(f"http://{rng.choice(hosts)}/" + "/".join(parts))
+    pages += [None, "", "http://x.com", "nothing", "http://a.net/" + "/".join("abcdefghijklmnopq"[:14])]
+    made, verdicts = plain_judge(pages)
+    assert learnt_templates(spark, [p for p in pages if p]).items() <= made.items()
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, url string")
+    got = {r["id"]: r["verdict"] for r in urls.judge(df).collect()}
+    assert [got[i] for i in range(len(pages))] == verdicts and {"allow", "block"} <= set(verdicts)
+
+
+def test_very_deep_paths_are_one_last_segment(spark):
+    deep = "http://a.com/" + "/".join(map(str, range(100)))
+    (shape,) = {s for _, s in learnt_templates(spark, [deep])}
+    assert len(shape) == urls.LEVELS and shape[-1].count("/") == 100 - urls.LEVELS
 
 
 # 9:

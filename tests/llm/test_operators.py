@@ -524,6 +524,48 @@ def test_neighbours(spark):
     assert hnsw.nearest(few, few, 5).count() == 2 and hnsw.nearest(few.where("false"), few.where("false"), 5).count() == 0
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_neighbours_over_several_shards(spark, monkeypatch, clustered):
+    """Recall of graphs in many shards; clustered vectors let queries pass most shards by."""
+    monkeypatch.setattr(hnsw, "SHARD_NODES", 300)
+    monkeypatch.setattr(hnsw, "BLOCK_QUERIES", 7)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(6, 24)) * 4
+    vectors = rng.normal(size=(2000, 24)) * (0.3 if clustered else 1) + (centres[rng.integers(0, 6, 2000)] if clustered else 0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    visits = []
+    searched = hnsw._searched
+    monkeypatch.setattr(hnsw, "_searched", lambda graphs, asked, k, ef: visits.append(asked.count()) or searched(graphs, asked, k, ef))
+    got: dict = {}
+    for r in hnsw.nearest(df, df.where("vec_id % 50 = 0"), 5).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    scaled = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 2000, 50):
+        near = scaled @ scaled[q]
+        near[q] = -9
+        hits += len(got[q] & set(np.argsort(-near)[:5].tolist()))
+    assert hits / (5 * len(got)) >= 0.97 and len(got) == 40
+    shards = 7 if not clustered else 8
+    assert sum(visits) < 40 * 4 if clustered else sum(visits) >= 40 * shards
+
+
+def test_graph_is_flat_arrays(spark):
+    vectors = hnsw._unit(np.random.default_rng(1).normal(size=(600, 8)))
+    graph = hnsw.Graph.build(vectors)
+    again = hnsw.Graph.read(vectors, graph.flat(), graph.entry)
+    assert (graph.ground == again.ground).all() and [v for v in again.search(vectors[5])][0] == 5
+    assert (graph.ground < 600).all() and ((graph.ground >= 0).sum(axis=1) <= 2 * hnsw.LINKS).all() and len(graph.upper) >= 1
+    seen, todo = {graph.entry}, [graph.entry]
+    while todo:
+        for v in graph.ground[todo.pop()]:
+            if v >= 0 and v not in seen:
+                seen.add(int(v))
+                todo.append(int(v))
+    assert len(seen) == 600
+    assert hnsw.Graph.build(vectors[:0]).entry == 0 and hnsw.Graph.build(vectors[:1]).search(vectors[0]) == [0]
+
+
 # 8:
 
 

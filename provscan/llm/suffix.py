@@ -1,23 +1,28 @@
 """Repeated byte strings across a corpus by distributed prefix doubling.
 
-A position's rank names the bytes that follow it. Ranks of 1, 2, 4, ... bytes
-are doubled inside each document, where the rank pair of a position and of the
-position at the current offset gives the rank at twice the offset; which ranks
-are unique is settled by Spark, which sorts (rank, rank) pairs of all documents.
-Positions leave as soon as their rank is unique:
-
-1.  offset 64, on the positions that are least in their 200-byte window: a
-    window can only occur twice if its least 64-byte rank does;
-2.  offset 128, on a finer sample of what survives, paired with the rank of the
-    232 bytes around it: equal pairs settle every window that it stands for,
-    unequal pairs under one rank leave their windows open;
-3.  offset 200, past the threshold, on every byte position still open: the
-    pair of 128-byte ranks at the position and 72 bytes on.
-
-The samples depend on the bytes of a window alone, so equal windows are always
-sampled alike and the outcome is that of ranking every position. Before each
-sort a map task merges its equal pairs into one row, so a passage that a third
-of all documents share reaches a sorting task once per map batch.
+A position's rank names the bytes around it: equal ranks, equal bytes. Spark
+gives the ranks. In every round each position has a pair (its rank so far, what
+the next longer string adds); pairs are counted, those that occur once leave,
+and the others are sorted and numbered: the number is the new rank, which goes
+back to its positions by a join and is one half of the next round's pair.
+
+1.  64 bytes. Pairs of (nothing, the 64 bytes).
+2.  169 bytes. Pairs of (the rank of the 64-byte string that leads them, the 169
+    bytes). Equal pairs with equal bytes on either side, too, settle all windows
+    around them; the others go on, one position for all that look alike.
+3.  200 bytes, past the threshold. Pairs of (the rank of the 169 bytes inside a
+    window, the 31 bytes that the window adds), for every single window still
+    open. What is not unique now occurs twice.
+
+Not every position takes part in rounds 1 and 2, but a sample that depends on
+the bytes alone, so that equal strings are sampled alike: it is a filter, and
+the outcome is that of ranking every position. Strings enter pairs as 64-bit
+hashes (see README on what a collision takes).
+
+Pairs that many positions share are merged before they are shuffled: a row per
+pair and map batch. They are counted in the map tasks first, and the joins that
+bring ranks back have many rows on one side only, so that adaptive execution can
+split a pair that a third of all documents share.
 """
 
 from __future__ import annotations
@@ -33,14 +38,19 @@ from provscan.llm.bpe import forget
 from provscan.llm.scratch import Scratch
 
 WINDOW = 200  #: bytes of a string that must not occur twice
-COARSE = 64
-FINE = 32  #: bytes ranked, and positions compared, by the finer sample
+COARSE = 64  #: bytes ranked in round 1
+FINE = 32  #: bytes compared, and positions among which one is taken, by the sample of round 2
 SPAN = 128
-LEFT, RIGHT = 63, 169  #: bytes before and after a fine position that cover all windows it stands for
+#: Bytes before and after a position of round 2: those in all windows that it stands for, and those in any.
+INNER_LEFT, INNER_RIGHT = 31, 138
+LEFT, RIGHT = 63, 169
+AMONG = INNER_LEFT + INNER_RIGHT - COARSE + 1  #: positions of 64-byte strings within the inner bytes
 BLOCK = 1 << 20  #: bytes handled at once in a Python worker
 HALO = 512
 _OCCURRENCE = np.dtype([("k1", "<i8"), ("k2", "<i4"), ("at", "<i4")])
-_ROWS = "h1 long, h2 long, seen binary"
+#: A pair (g, h1) and its surroundings h2, how often it occurs in a map batch, the first place, and the others.
+_ROWS = "g long, h1 long, h2 long, n long, k1 long, k2 int, at int, seen binary"
+_KEYS = ["g", "h1", "h2"]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -126,24 +136,24 @@ def _blocks(texts: list[bytes]):
         yield _Block(parts)
 
 
-def _merged(h1, h2, k1, k2, at) -> pa.RecordBatch:
-    """One row per different (h1, h2), with all its occurrences."""
-    order = np.lexsort((h2, h1))
-    h1, h2 = h1[order], h2[order]
-    seen = np.empty(len(order), _OCCURRENCE)
-    seen["k1"], seen["k2"], seen["at"] = k1[order], k2[order], at[order]
-    first = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])) if len(h1) else np.zeros(0, np.int64)
-    offsets = np.append(first, len(h1)).astype(np.int32) * _OCCURRENCE.itemsize
-    binary = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(seen.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64)), binary], names=["h1", "h2", "seen"])
-
-
 def _collect(found: list[tuple], k1: np.ndarray, k2: np.ndarray) -> pa.RecordBatch:
-    """found: (h1, h2, document, offset) arrays of one batch."""
+    """_ROWS of (g, h1, h2, document, offset) arrays of one batch: one row per different (g, h1, h2)."""
     if not found:
-        found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    h1, h2, doc, at = (np.concatenate(x) for x in zip(*found))
-    return _merged(h1, h2, k1[doc], k2[doc], at)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    g, h1, h2, doc, at = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((at, doc, h2, h1, g))
+    g, h1, h2, doc, at = (x[order] for x in (g, h1, h2, doc, at))
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(g)))
+    rest = np.flatnonzero(~new)
+    seen = np.empty(len(rest), _OCCURRENCE)
+    seen["k1"], seen["k2"], seen["at"] = k1[doc[rest]], k2[doc[rest]], at[rest]
+    offsets = np.concatenate([[0], np.cumsum(counts - 1)]).astype(np.int32) * _OCCURRENCE.itemsize
+    binary = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(seen.tobytes())])
+    arrays = [g[first], h1[first].view(np.int64), h2[first].view(np.int64), counts, k1[doc[first]], k2[doc[first]].astype(np.int32), at[first].astype(np.int32)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, arrays), binary], names=[*_KEYS, "n", "k1", "k2", "at", "seen"])
 
 
 def _keys(batch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -154,14 +164,12 @@ def _fits(block: _Block, n: int, size: int) -> np.ndarray:
     return block.left[:n] >= size
 
 
-def _coarse(block: _Block, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-byte ranks, whether a position is sampled at offset 64)."""
-    ranks = np.where(_fits(block, len(ranks), COARSE), _mix(ranks), ~np.uint64(0))
-    return ranks, _sampled(ranks, WINDOW - COARSE + 1, _fits(block, len(ranks), WINDOW))
+def _coarse(block: _Block, ranks: np.ndarray) -> np.ndarray:
+    return np.where(_fits(block, len(ranks), COARSE), _mix(ranks), ~np.uint64(0))
 
 
 def _first_batches(batches):
-    """Offset 64: rank pairs (rank, 0) of the positions least in some window. Copies of a text in one batch give theirs once."""
+    """Round 1: positions least among AMONG neighbours. Copies of a text in one batch give theirs once."""
     forget()
     for batch in batches:
         k1, k2, texts = _keys(batch)
@@ -169,9 +177,11 @@ def _first_batches(batches):
         k1, k2, texts = k1[once], k2[once], [texts[i] for i in once]
         found = []
         for block in _blocks(texts):
-            ranks, chosen = _coarse(block, _double(block.text, (COARSE,))[0])
+            ranks = _coarse(block, _double(block.text, (COARSE,))[0])
+            chosen = _sampled(ranks, AMONG, _fits(block, len(ranks), INNER_LEFT + INNER_RIGHT))
             index = block.owned(np.flatnonzero(chosen))
-            found.append((ranks[index], np.zeros(len(index), np.uint64), *block.where(index)))
+            none = np.zeros(len(index), np.uint64)
+            found.append((none.view(np.int64), ranks[index], none, *block.where(index)))
         yield _collect(found, k1, k2)
 
 
@@ -183,38 +193,54 @@ def _fine(block: _Block, ranks: np.ndarray) -> np.ndarray:
     return np.append(chosen, n)[np.searchsorted(chosen, np.arange(n + FINE))]
 
 
-def _flags(block: _Block, lists: list, size: int) -> np.ndarray:
-    """The codes (low two bits of each listed value, offset above them) laid out over the block."""
-    codes = np.zeros(size, np.uint8)
+def _told(column) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(values, ranks) of each row of an array of structs."""
+    flat = column.values
+    values, ranks = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+    bounds = column.offsets.to_numpy().tolist()
+    return [(values[a:b], ranks[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+
+def _laid(block: _Block, told: list, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (low two bits of each value, offset above them) and ranks laid out over the block; 0 where there is none."""
+    codes, ranks = np.zeros(size, np.uint8), np.zeros(size, np.int64)
     for part, (k, piece, base, _, _) in enumerate(block.parts):
-        values = lists[k]
+        values, named = told[k]
         if len(values):
             at = (values >> 2) - base
             inside = (at >= 0) & (at < len(piece))
-            codes[at[inside] + block.starts[part]] = values[inside] & 3
-    return codes
+            where = at[inside] + block.starts[part]
+            codes[where], ranks[where] = values[inside] & 3, named[inside]
+    return codes, ranks
+
+
+def _stands(block: _Block, r32: np.ndarray) -> np.ndarray:
+    """For each position where a window may start, the fine position that stands for it: 31 to 62 bytes on."""
+    return _fine(block, r32)[INNER_LEFT : INNER_LEFT + max(len(block.text) - WINDOW + 1, 0)]
 
 
 def _second_batches(batches):
-    """Offset 128: (rank of 128 bytes, rank of all bytes around) of fine positions that stand for a window still open."""
+    """Round 2: fine positions whose leading 64 bytes have a rank, with all bytes around as their surroundings."""
     forget()
     for batch in batches:
         k1, k2, texts = _keys(batch)
-        lists = [np.asarray(x, np.int64) for x in batch.column(3).to_numpy(zero_copy_only=False)]
+        told = _told(batch.column(3))
         found = []
         for block in _blocks(texts):
             r32, r64, r128 = _double(block.text, (FINE, COARSE, SPAN))
-            coarse, _ = _coarse(block, r64)
-            again = np.where(_flags(block, lists, len(block.text))[: len(coarse)] > 0, coarse, np.uint64(0))
-            width = WINDOW - COARSE + 1
-            # A window is open if its least rank is one of those known to repeat: the rank stands somewhere in it, flagged.
-            least = _extreme(coarse, width, np.minimum)
-            hit = np.where(again == coarse, np.uint64(1), np.uint64(0))
-            open_ = (_fits(block, len(least), WINDOW)) & (least == _extreme(np.where(hit > 0, coarse, ~np.uint64(0)), width, np.minimum))
-            windows = np.flatnonzero(open_)
-            fine = np.unique(_fine(block, r32)[windows + FINE - 1])
-            index = block.owned(fine[fine + SPAN <= len(block.text)])
-            found.append((r128[index], _around(block, r64, index), *block.where(index)))
+            coarse = _coarse(block, r64)
+            _, ranks = _laid(block, told, len(block.text))
+            known = np.flatnonzero((ranks[: len(coarse)] > 0) & _fits(block, len(coarse), COARSE))
+            hashes, first = np.unique(coarse[known], return_index=True)  # equal strings have one rank
+            if not len(hashes):
+                continue
+            stands = _stands(block, r32)
+            fine = block.owned(np.unique(stands[_fits(block, len(stands), WINDOW)]))
+            least = _extreme(coarse, AMONG, np.minimum)[fine - INNER_LEFT]
+            at = np.minimum(np.searchsorted(hashes, least), len(hashes) - 1)
+            fine, at = fine[hashes[at] == least], at[hashes[at] == least]
+            inner = _mix(_mix(r128[fine - INNER_LEFT]) + r64[fine + INNER_RIGHT - COARSE] * np.uint64(0xA24BAED4963EE407))
+            found.append((ranks[known[first[at]]], inner, _around(block, r64, fine), *block.where(fine)))
         yield _collect(found, k1, k2)
 
 
@@ -228,90 +254,64 @@ def _around(block: _Block, r64: np.ndarray, index: np.ndarray) -> np.ndarray:
 
 
 def _third_batches(batches):
-    """Offset 200: rank pairs of the byte positions whose fine position left them open."""
+    """Round 3: every window left open, as the rank of its fine position's inner bytes and the bytes it adds to them."""
     forget()
     for batch in batches:
         k1, k2, texts = _keys(batch)
-        lists = [np.asarray(x, np.int64) for x in batch.column(3).to_numpy(zero_copy_only=False)]
+        told = _told(batch.column(3))
         found = []
         for block in _blocks(texts):
-            r32, r128 = _double(block.text, (FINE, SPAN))
-            n = len(block.text) - WINDOW + 1
-            stands = _fine(block, r32)[FINE - 1 : FINE - 1 + n]
-            codes = _flags(block, lists, len(block.text) + 1)
-            index = block.owned(np.flatnonzero((codes[stands] & 2 > 0) & _fits(block, n, WINDOW)))
-            found.append((r128[index], r128[index + WINDOW - SPAN], *block.where(index)))
+            (r32,) = _double(block.text, (FINE,))
+            codes, ranks = _laid(block, told, len(block.text) + 1)
+            stands = _stands(block, r32)
+            index = block.owned(np.flatnonzero((codes[stands] & 2 > 0) & _fits(block, len(stands), WINDOW)))
+            fine = stands[index]
+            added = _mix(r32[index + WINDOW - FINE] * np.uint64(0x9FB21C651E98DF25) + (fine - index).astype(np.uint64))
+            added = _mix(r32[index] * np.uint64(0xA24BAED4963EE407) + added)
+            found.append((ranks[fine], added, np.zeros(len(index), np.uint64), *block.where(index)))
         yield _collect(found, k1, k2)
 
 
-def _settle(batches):
-    """Walks rows sorted by (h1, h2) and gives a code to each occurrence worth keeping.
-
-    Bit 0: its pair occurs elsewhere. Bit 1: it is the one of its pair that
-    answers for the windows left open, as its h1 occurs with another h2 too.
-    Holds two occurrences at a time, however many share a rank.
-    """
-    size = _OCCURRENCE.itemsize
-    h1 = h2 = one = first = None
-    count = 0
-    out: list[bytes] = []
-    codes = bytearray()
-    runs = 0
-
-    def put(seen: bytes, code: int) -> None:
-        out.append(seen)
-        codes.extend(bytes([code]) * (len(seen) // size))
-
-    def end_run() -> None:
-        nonlocal first, runs
-        if runs == 0:
-            first = (one, count)
-        else:
-            if first:
-                put(first[0], 2 | (first[1] > 1))
-                first = None
-            put(one, 2 | (count > 1))
-        runs += 1
-
-    def end_group() -> None:
-        nonlocal first, runs
-        if one is not None:
-            end_run()
-            if first and first[1] > 1:
-                put(first[0], 1)
-        first, runs = None, 0
-
-    def take() -> pa.RecordBatch:
-        seen = np.frombuffer(b"".join(out), _OCCURRENCE)
-        value = seen["at"].astype(np.int64) << 2 | np.frombuffer(bytes(codes), np.uint8)
-        arrays = [pa.array(np.ascontiguousarray(seen["k1"])), pa.array(np.ascontiguousarray(seen["k2"])), pa.array(value)]
-        out.clear()
-        codes.clear()
-        return pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "value"])
-
+def _placed_batches(batches):
+    """(k1, k2, value, rank) of every place of joined rows: bit 0 of the code says that pair and surroundings
+    occur elsewhere; bit 1 that the place answers for windows left open, where the pair has other surroundings too."""
     for batch in batches:
-        for a, b, seen in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if a == h1 and b == h2:
-                put(seen, 1)
-                count += len(seen) // size
-                continue
-            if a != h1:
-                end_group()
-            else:
-                end_run()
-            h1, h2, one, count = a, b, seen[:size], len(seen) // size
-            if count > 1:
-                put(seen[size:], 1)
-        yield take()
-    end_group()
-    yield take()
-
-
-def _sorted_round(rows: DataFrame, keep: str) -> DataFrame:
-    """Sorts rank pairs and returns (k1, k2, values): the different codes kept, by text; any number of copies gives each once."""
-    pairs = rows.repartition("h1").sortWithinPartitions("h1", "h2")
-    settled = pairs.mapInArrow(_settle, "k1 long, k2 int, value long").where(keep)
-    return settled.groupBy("k1", "k2").agg(F.collect_set("value").alias("values"))
+        first, rest = (np.empty(n, _OCCURRENCE) for n in (batch.num_rows, 0))
+        column = lambda name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+        for name in ("k1", "k2", "at"):
+            first[name] = column(name)
+        seen = batch.column(batch.schema.get_field_index("seen")).to_pylist()
+        counts = np.array([len(x) for x in seen], np.int64) // _OCCURRENCE.itemsize
+        rest = np.frombuffer(b"".join(seen), _OCCURRENCE)
+        row = np.concatenate([np.arange(batch.num_rows), np.repeat(np.arange(batch.num_rows), counts)])
+        places = np.concatenate([first, rest])
+        again, open_ = column("again")[row], column("open")[row]
+        one = (column("one_k1")[row] == places["k1"]) & (column("one_k2")[row] == places["k2"]) & (column("one_at")[row] == places["at"])
+        code = again.astype(np.int64) | (open_ & one).astype(np.int64) << 1
+        keep = code > 0
+        arrays = [np.ascontiguousarray(places["k1"])[keep], np.ascontiguousarray(places["k2"])[keep], (places["at"].astype(np.int64) << 2 | code)[keep], column("rank")[row][keep]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, arrays)], names=["k1", "k2", "value", "rank"])
+
+
+def _ranked(rows: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """(k1, k2, told array<struct<value,rank>>): the new ranks of pairs that are not unique, by text.
+
+    A text's copies give each of their places once.
+    """
+    rows = scratch.write(rows, f"{name}-pairs")
+    # One row per pair and surroundings, and from these one per pair.
+    one = F.min(F.struct("k1", "k2", "at"))
+    alike = rows.groupBy(*_KEYS).agg(F.sum("n").alias("n"), one.alias("one"))
+    alike = scratch.write(alike, f"{name}-alike")
+    pairs = alike.groupBy("g", "h1").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where(F.col("all") > 1)
+    ranks = pairs.sortWithinPartitions("g", "h1").select("g", "h1", "kinds", (F.monotonically_increasing_id() + 1).alias("rank"))
+    ranks = scratch.write(ranks, f"{name}-ranks")
+    known = alike.join(ranks, ["g", "h1"]).select(*_KEYS, "rank", (F.col("n") > 1).alias("again"), (F.col("kinds") > 1).alias("open"), *(F.col(f"one.{c}").alias(f"one_{c}") for c in ("k1", "k2", "at")))
+    back = rows.join(known, _KEYS).drop(*_KEYS, "n")
+    places = back.mapInArrow(_placed_batches, "k1 long, k2 int, value long, rank long")
+    found = scratch.write(places.groupBy("k1", "k2").agg(F.collect_set(F.struct("value", "rank")).alias("told")), name)
+    scratch.drop(f"{name}-pairs", f"{name}-alike", f"{name}-ranks")
+    return found
 
 
 def _cover(n: int, proven: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -330,10 +330,9 @@ def _cover(n: int, proven: np.ndarray, windows: np.ndarray) -> np.ndarray:
 def _cut_batches(batches):
     for batch in batches:
         k1, k2, texts = _keys(batch)
-        seconds, thirds = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        seconds, thirds = _told(batch.column(3)), _told(batch.column(4))
         rows = []
-        for text, second, third in zip(texts, seconds, thirds):
-            second, third = np.array(second or [], np.int64), np.array(third or [], np.int64)
+        for text, (second, _), (third, _) in zip(texts, seconds, thirds):
             spans = _cover(len(text), second[second & 1 > 0] >> 2, third >> 2)
             bounds = [0, *spans.ravel().tolist(), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2]))
@@ -362,15 +361,16 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", scratch: Scratch | N
     keyed = _keyed(docs.select(text_col), text_col)
     texts = keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col(text_col).cast("binary").alias("text"))
     texts = texts.where(F.length("text") >= WINDOW)
-    first = scratch.write(_sorted_round(texts.mapInArrow(_first_batches, _ROWS), "value % 2 = 1"), "first")
+    first = _ranked(texts.mapInArrow(_first_batches, _ROWS), "first", scratch)
     # One row per text before the join: copies merge in the map tasks, then by key.
     once = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     left = scratch.write(once.join(first, ["k1", "k2"]), "left")
     scratch.drop("first")
-    second = scratch.write(_sorted_round(left.mapInArrow(_second_batches, _ROWS), "true"), "second")
+    second = _ranked(left.mapInArrow(_second_batches, _ROWS), "second", scratch)
     open_ = left.select("k1", "k2", "text").join(second, ["k1", "k2"])
-    third = scratch.write(_sorted_round(open_.mapInArrow(_third_batches, _ROWS), "value % 2 = 1"), "third")
-    settled = open_.join(third.withColumnRenamed("values", "more"), ["k1", "k2"], "left")
+    third = _ranked(open_.mapInArrow(_third_batches, _ROWS), "third", scratch)
+    none = F.array().cast("array<struct<value:bigint,rank:bigint>>")
+    settled = open_.join(third.withColumnRenamed("told", "more"), ["k1", "k2"], "left").withColumn("more", F.coalesce("more", none))
     schema = "k1 long, k2 int, n_removed long, spans array<long>, kept_text string, kept_sha256 string"
     return settled.mapInArrow(_cut_batches, schema).where("n_removed > 0")
 

@@ -782,7 +782,7 @@ def test_suffix_gathers_copies_once(spark):
     text = " ".join(str(rng.randrange(10**6)) for _ in range(300))
     df = spark.createDataFrame([(text,)] * 60 + [(text[:900] + "other " * 50,)] * 3, "text string").repartition(6)
     keyed = suffix._keyed(df, "text").select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("text").cast("binary").alias("text"))
-    rows = suffix._sorted_round(keyed.mapInArrow(suffix._first_batches, suffix._ROWS), "value % 2 = 1").collect()
-    assert len(rows) == 2 and all(len(r["values"]) == len(set(r["values"])) > 0 for r in rows)
+    rows = suffix._ranked(keyed.mapInArrow(suffix._first_batches, suffix._ROWS), "first", Scratch(spark, "test")).collect()
+    assert len(rows) == 2 and all(len(r["told"]) == len(set(r["told"])) > 0 for r in rows)
     done = suffix.deduplicated(df).collect()
     assert len(done) == 63 and all(r["__n_removed"] == r["__n_bytes"] for r in done)

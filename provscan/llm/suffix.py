@@ -48,8 +48,8 @@ AMONG = INNER_LEFT + INNER_RIGHT - COARSE + 1  #: positions of 64-byte strings w
 BLOCK = 1 << 20  #: bytes handled at once in a Python worker
 HALO = 512
 _OCCURRENCE = np.dtype([("k1", "<i8"), ("k2", "<i4"), ("at", "<i4")])
-#: A pair (g, h1) and its surroundings h2, how often it occurs in a map batch, the first place, and the others.
-_ROWS = "g long, h1 long, h2 long, n long, k1 long, k2 int, at int, seen binary"
+#: A pair (g, h1) and its surroundings h2, how often it occurs in a map batch, the first place and its number, and the other places.
+_ROWS = "g long, h1 long, h2 long, n long, k1 long, k2 int, at int, place long, seen binary"
 _KEYS = ["g", "h1", "h2"]
 
 
@@ -152,8 +152,10 @@ def _collect(found: list[tuple], k1: np.ndarray, k2: np.ndarray) -> pa.RecordBat
     seen["k1"], seen["k2"], seen["at"] = k1[doc[rest]], k2[doc[rest]], at[rest]
     offsets = np.concatenate([[0], np.cumsum(counts - 1)]).astype(np.int32) * _OCCURRENCE.itemsize
     binary = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(seen.tobytes())])
-    arrays = [g[first], h1[first].view(np.int64), h2[first].view(np.int64), counts, k1[doc[first]], k2[doc[first]].astype(np.int32), at[first].astype(np.int32)]
-    return pa.RecordBatch.from_arrays([*map(pa.array, arrays), binary], names=[*_KEYS, "n", "k1", "k2", "at", "seen"])
+    k1, k2, at = k1[doc[first]], k2[doc[first]].astype(np.int32), at[first].astype(np.int32)
+    place = _mix(k1.view(np.uint64) + _mix((k2.astype(np.int64) << 32 | at).view(np.uint64))).view(np.int64)
+    arrays = [g[first], h1[first].view(np.int64), h2[first].view(np.int64), counts, k1, k2, at, place]
+    return pa.RecordBatch.from_arrays([*map(pa.array, arrays), binary], names=[*_KEYS, "n", "k1", "k2", "at", "place", "seen"])
 
 
 def _keys(batch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -276,39 +278,41 @@ def _placed_batches(batches):
     """(k1, k2, value, rank) of every place of joined rows: bit 0 of the code says that pair and surroundings
     occur elsewhere; bit 1 that the place answers for windows left open, where the pair has other surroundings too."""
     for batch in batches:
-        first, rest = (np.empty(n, _OCCURRENCE) for n in (batch.num_rows, 0))
         column = lambda name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
-        for name in ("k1", "k2", "at"):
-            first[name] = column(name)
         seen = batch.column(batch.schema.get_field_index("seen")).to_pylist()
         counts = np.array([len(x) for x in seen], np.int64) // _OCCURRENCE.itemsize
         rest = np.frombuffer(b"".join(seen), _OCCURRENCE)
-        row = np.concatenate([np.arange(batch.num_rows), np.repeat(np.arange(batch.num_rows), counts)])
-        places = np.concatenate([first, rest])
-        again, open_ = column("again")[row], column("open")[row]
-        one = (column("one_k1")[row] == places["k1"]) & (column("one_k2")[row] == places["k2"]) & (column("one_at")[row] == places["at"])
-        code = again.astype(np.int64) | (open_ & one).astype(np.int64) << 1
+        again = column("again").astype(np.int64)
+        code = np.concatenate([again | column("open").astype(np.int64) << 1, np.repeat(again, counts)])
+        k1, k2, at = (np.concatenate([column(name), rest[name]]) for name in ("k1", "k2", "at"))
+        rank = np.concatenate([column("rank"), np.repeat(column("rank"), counts)])
         keep = code > 0
-        arrays = [np.ascontiguousarray(places["k1"])[keep], np.ascontiguousarray(places["k2"])[keep], (places["at"].astype(np.int64) << 2 | code)[keep], column("rank")[row][keep]]
+        arrays = [k1[keep], k2[keep], (at.astype(np.int64) << 2 | code)[keep], rank[keep]]
         yield pa.RecordBatch.from_arrays([*map(pa.array, arrays)], names=["k1", "k2", "value", "rank"])
 
 
-def _ranked(rows: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+def _ranked(rows: DataFrame, name: str, scratch: Scratch, surroundings: bool = False) -> DataFrame:
     """(k1, k2, told array<struct<value,rank>>): the new ranks of pairs that are not unique, by text.
 
-    A text's copies give each of their places once.
+    A text's copies give each of their places once. With ``surroundings``, pairs
+    are told apart by h2, too (see _placed_batches).
     """
     rows = scratch.write(rows, f"{name}-pairs")
-    # One row per pair and surroundings, and from these one per pair.
-    one = F.min(F.struct("k1", "k2", "at"))
-    alike = rows.groupBy(*_KEYS).agg(F.sum("n").alias("n"), one.alias("one"))
-    alike = scratch.write(alike, f"{name}-alike")
-    pairs = alike.groupBy("g", "h1").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where(F.col("all") > 1)
-    ranks = pairs.sortWithinPartitions("g", "h1").select("g", "h1", "kinds", (F.monotonically_increasing_id() + 1).alias("rank"))
-    ranks = scratch.write(ranks, f"{name}-ranks")
-    known = alike.join(ranks, ["g", "h1"]).select(*_KEYS, "rank", (F.col("n") > 1).alias("again"), (F.col("kinds") > 1).alias("open"), *(F.col(f"one.{c}").alias(f"one_{c}") for c in ("k1", "k2", "at")))
-    back = rows.join(known, _KEYS).drop(*_KEYS, "n")
-    places = back.mapInArrow(_placed_batches, "k1 long, k2 int, value long, rank long")
+    pair = ["g", "h1"]
+    if surroundings:
+        alike = scratch.write(rows.groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.min("place").alias("one")), f"{name}-alike")
+        counted = alike.groupBy(*pair).agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
+    else:
+        counted = rows.groupBy(*pair).agg(F.sum("n").alias("all"))
+    repeated = counted.where(F.col("all") > 1).drop("all").sortWithinPartitions(*pair)
+    ranks = scratch.write(repeated.withColumn("rank", F.monotonically_increasing_id() + 1), f"{name}-ranks")
+    # Both sides are hashed by pair: the side that a task holds has each pair once.
+    if surroundings:
+        known = alike.join(ranks.hint("shuffle_hash"), pair).select(*_KEYS, "rank", "one", (F.col("n") > 1).alias("again"), (F.col("kinds") > 1).alias("several"))
+        back = rows.join(known.hint("shuffle_hash"), _KEYS).withColumn("open", F.col("several") & (F.col("place") == F.col("one")))
+    else:
+        back = rows.join(ranks.hint("shuffle_hash"), pair).withColumns({"again": F.lit(True), "open": F.lit(False)})
+    places = back.select("k1", "k2", "at", "seen", "rank", "again", "open").mapInArrow(_placed_batches, "k1 long, k2 int, value long, rank long")
     found = scratch.write(places.groupBy("k1", "k2").agg(F.collect_set(F.struct("value", "rank")).alias("told")), name)
     scratch.drop(f"{name}-pairs", f"{name}-alike", f"{name}-ranks")
     return found
@@ -366,7 +370,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", scratch: Scratch | N
     once = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     left = scratch.write(once.join(first, ["k1", "k2"]), "left")
     scratch.drop("first")
-    second = _ranked(left.mapInArrow(_second_batches, _ROWS), "second", scratch)
+    second = _ranked(left.mapInArrow(_second_batches, _ROWS), "second", scratch, surroundings=True)
     open_ = left.select("k1", "k2", "text").join(second, ["k1", "k2"])
     third = _ranked(open_.mapInArrow(_third_batches, _ROWS), "third", scratch)
     none = F.array().cast("array<struct<value:bigint,rank:bigint>>")

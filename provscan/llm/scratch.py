@@ -22,9 +22,10 @@ class Scratch:
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.root)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, dictionaries: bool = True) -> DataFrame:
+        """``df`` written and read again; without ``dictionaries`` where hardly a value comes twice."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("parquet.enable.dictionary", str(dictionaries).lower()).parquet(path)
         # The JVM frees shuffle files only when their owner is collected.
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)

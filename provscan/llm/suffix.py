@@ -297,10 +297,10 @@ def _ranked(rows: DataFrame, name: str, scratch: Scratch, surroundings: bool = F
     A text's copies give each of their places once. With ``surroundings``, pairs
     are told apart by h2, too (see _placed_batches).
     """
-    rows = scratch.write(rows, f"{name}-pairs")
     pair = ["g", "h1"]
+    rows = scratch.write(rows if surroundings else rows.drop("h2", "place"), f"{name}-pairs", dictionaries=False)
     if surroundings:
-        alike = scratch.write(rows.groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.min("place").alias("one")), f"{name}-alike")
+        alike = scratch.write(rows.groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.min("place").alias("one")), f"{name}-alike", dictionaries=False)
         counted = alike.groupBy(*pair).agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
     else:
         counted = rows.groupBy(*pair).agg(F.sum("n").alias("all"))

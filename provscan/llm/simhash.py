@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provscan.llm.components import connected_components
@@ -48,15 +48,16 @@ def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
 
 def _fingerprint_batches(batches):
     for batch in batches:
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(2).to_pylist()
         marks = np.fromiter((fingerprint(t or b"") for t in texts), dtype=np.int64, count=len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks)], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks)], names=["id", "of", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) per row; a null text counts as empty."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, "id long, fp long")
+    """(id, of, fp long) per row: ``of`` is a hash of the text; a null text counts as empty. Ids are of any type with an order."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("of"), text.cast("binary").alias("text"))
+    return rows.mapInArrow(_fingerprint_batches, f"id {docs.schema[id_col].dataType.simpleString()}, of long, fp long")
 
 
 def syndromes(halves: np.ndarray) -> np.ndarray:
@@ -111,7 +112,11 @@ def _replica_batches(batches):
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """(u, v) for every two different fingerprints of ``distinct`` (fp long) at most three bits apart."""
+    """(u, v) for every two different fingerprints of ``distinct`` (fp long) at most three bits apart.
+
+    Fingerprints stand for their documents, so copies are never expanded. The
+    join is by sorting: adaptive execution splits an anchor that many share.
+    """
     home = distinct.mapInArrow(_home_batches, "anchor long, a long")
     replicas = distinct.mapInArrow(_replica_batches, "anchor long, b long")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD)
@@ -119,6 +124,15 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """((id, of, fp) per row, (fp, root) per different fingerprint): the same root is reached over links."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    marked = scratch.write(fingerprints(docs, id_col, text_col), "marked")
+    distinct = scratch.write(marked.select("fp").distinct(), "distinct")
+    roots = connected_components(links(distinct), scratch)
+    return marked, distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): component is the least id that links of near fingerprints reach.
 
@@ -128,50 +142,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as empty; repeated rows come back as often as they came in; an empty table
     gives an empty result. Only the two named columns are read.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.write(fingerprints(docs, id_col, text_col), "marked")
-    distinct = scratch.write(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = connected_components(links(distinct.select("fp")), scratch)
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    classes = rooted.join(named, "root").select("fp", "component")
+    marked, rooted = _classes(docs, id_col, text_col)
+    least = marked.groupBy("fp").agg(F.min("id").alias("least"))  # before the join: a fingerprint may have very many rows
+    named = rooted.join(least, "fp")
+    components = named.groupBy("root").agg(F.min("least").alias("component"))
+    classes = named.join(components, "root").select("fp", "component")
     return marked.join(classes, "fp").select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate class: that of the least id.
+    """``docs`` with one row of each near-duplicate class: that of the least id, then of the least hash of its text.
 
-    Of repeated rows of that id the one with the least text stays. Rows without
-    an id go when a row with an id is in their class; otherwise they stay.
+    Ids don't decide more than that: texts that share an id stay if their
+    classes differ, and of rows without ids, which come last, one stays, too, in a
+    class that has no others. Of rows that are alike in id and text one stays.
+    Null texts count as empty; an empty table gives an empty result; all columns
+    pass through.
     """
-    classes = near_duplicates(docs, id_col, text_col)
-    kept = classes.where(F.col("id") == F.col("component")).select(F.col("id").alias("__id")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__id"), "left_semi")
-    order = F.row_number().over(_by(id_col, text_col))
-    named = named.withColumn("__n", order).where("__n = 1").drop("__n")
-    orphans = classes.where("id is null and component is null").select("fp").distinct()
-    unnamed = docs.where(F.col(id_col).isNull())
-    marked = unnamed.mapInArrow(_with_fingerprint(text_col), _plus(unnamed))
-    return named.unionByName(marked.join(orphans, marked["__fp"] == orphans["fp"], "left_semi").drop("__fp"))
-
-
-def _by(id_col: str, text_col: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(id_col).orderBy(text_col)
-
-
-def _plus(df: DataFrame):
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    return StructType([*df.schema.fields, StructField("__fp", LongType())])
-
-
-def _with_fingerprint(text_col: str):
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            marks = pa.array([fingerprint((t or "").encode()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, marks], names=[*batch.schema.names, "__fp"])
-
-    return run
+    marked, rooted = _classes(docs, id_col, text_col)
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "of")).alias("first")
+    kept = marked.groupBy("fp").agg(first).join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.id").alias("__id"), F.col("first.of").alias("__kept"))
+    rows = docs.withColumn("__of", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__kept")), "left_semi")
+    alike = Window.partitionBy(id_col, "__of").orderBy(F.lit(0))
+    return rows.withColumn("__n", F.row_number().over(alike)).where("__n = 1").drop("__n", "__of")

@@ -45,7 +45,7 @@ SPAN = 128
 INNER_LEFT, INNER_RIGHT = 31, 138
 LEFT, RIGHT = 63, 169
 AMONG = INNER_LEFT + INNER_RIGHT - COARSE + 1  #: positions of 64-byte strings within the inner bytes
-BLOCK = 1 << 20  #: bytes handled at once in a Python worker
+BLOCK = 1 << 19  #: bytes handled at once in a Python worker
 HALO = 512
 _OCCURRENCE = np.dtype([("k1", "<i8"), ("k2", "<i4"), ("at", "<i4")])
 #: A pair (g, h1) and its surroundings h2, how often it occurs in a map batch, the first place and its number, and the other places.

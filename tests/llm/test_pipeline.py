@@ -88,4 +88,21 @@ def test_query_runs(spark, name):
 
 def test_keep_one_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (1, "zz yy xx"), (2, "a b c d")], "doc_id long, text string")
-    assert sorted(map(tuple, simhash.keep_one(df).collect())) == [(1, "a b c d")]
+    assert sorted(map(tuple, simhash.keep_one(df).collect())) == [(1, "a b c d"), (1, "zz yy xx")]
+
+
+def test_keep_one_of_rows_without_ids_and_of_named_ids(spark):
+    df = spark.createDataFrame([(None, "p q r s")] * 3 + [("b", "a b c d"), ("a", "a b c d"), (None, "a b c d"), ("c", None), (None, "")], "doc_id string, text string")
+    kept = [tuple(r) for r in simhash.keep_one(df).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "p q r s"), ("a", "a b c d"), ("c", None)], key=str)
+    found = {(r["id"], r["component"]) for r in simhash.near_duplicates(df).collect()}
+    assert found == {(None, None), ("a", "a"), ("b", "a"), (None, "a"), ("c", "c"), (None, "c")}
+
+
+def test_pipeline_passes_clashing_columns_through(spark, tmp_path):
+    rows = [(i, f"clean words number {i} " * 30, "en", "web", 10) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("clash") for c in ("id", "fp", "k1", "score", "values", "at", "told")})
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+    assert corpus_pipeline.packed(spark, docs, str(tmp_path)).count() == 30

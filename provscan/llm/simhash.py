@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provscan.llm.components import connected_components
@@ -162,8 +162,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     marked, rooted = _classes(docs, id_col, text_col)
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "of")).alias("first")
     kept = marked.groupBy("fp").agg(first).join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.id").alias("__id"), F.col("first.of").alias("__kept"))
-    rows = docs.withColumn("__of", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__kept")), "left_semi")
-    alike = Window.partitionBy(id_col, "__of").orderBy(F.lit(0))
-    return rows.withColumn("__n", F.row_number().over(alike)).where("__n = 1").drop("__n", "__of")
+    kept = kept.select(_row_key(F.col("first.id"), F.col("first.of")).alias("__kept"))
+    rows = docs.withColumn("__key", _row_key(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
+    rows = rows.join(kept, F.col("__key") == F.col("__kept"), "left_semi")
+    alike = Window.partitionBy("__key").orderBy(F.lit(0))  # as the join has it: no further shuffle
+    return rows.withColumn("__n", F.row_number().over(alike)).where("__n = 1").drop("__n", "__key")
+
+
+def _row_key(id_: Column, of: Column) -> Column:
+    """One string of an id, null or not, and the hash of a text."""
+    return F.concat(of.cast("string"), F.coalesce(F.concat(F.lit(" "), id_.cast("string")), F.lit("")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from provscan.functions import cadence, style
+from provscan.functions import cadence, formats, style
 from provscan.functions.phrases import CADENCE, cadence_pattern
 from provscan.plans import planted as P
 from provscan.plans import queries as Q
@@ -70,7 +70,6 @@ SELECT doc_id, CAST(length(x) AS BIGINT) AS input_length, CAST(length({CLEAN}) A
 _LATIN = lambda x: f"replace(replace(replace({x}, chr(1088), 'p'), chr(65313), 'A'), chr(65346), 'b')"
 ORACLES["unicode_confusables"] = f"""SELECT doc_id, sha256({_LATIN(CLEAN)}) AS clean_sha256, sha256({_LATIN('text')}) AS latin_sha256,
   CAST(len(regexp_extract_all(text, {_GAP})) + length(regexp_replace(text, {_GAP}, ', ', 'g')) - length(replace(replace(replace(replace(replace(regexp_replace(text, {_GAP}, ', ', 'g'), chr(8212), ''), chr(160), ''), chr(1088), ''), chr(65313), ''), chr(65346), '')) AS BIGINT) AS replaced_count FROM {P.DOCS}"""
-ORACLES["unicode_nfkc"] = "SELECT doc_id, 'Ab' AS folded, doc_id % 17 = 0 AS changed, CAST(CASE WHEN doc_id % 17 = 0 THEN 2 ELSE 0 END AS BIGINT) AS replaced_count FROM documents"
 
 ORACLES["cadence_words"] = f"WITH {CADENCE_SQL} SELECT doc_id, CAST(n AS BIGINT) AS words, CAST(round(mattr * CASE WHEN n > 50 THEN 50 * (n - 49) ELSE n END) AS BIGINT) AS window_kinds, CAST(en AS BIGINT) AS en, CAST(pt AS BIGINT) AS pt, language FROM m"
 ORACLES["cadence_burstiness"] = f"WITH {CADENCE_SQL} SELECT doc_id, CAST(len(sentences) AS BIGINT) AS sentences, CAST(len(lengths) AS BIGINT) AS measured, round(raw_cv, 6) AS cv FROM m"
@@ -99,6 +98,32 @@ ORACLES["style_lexical_signals"] = _LEXICAL
 ORACLES["style_by_signal"] = f"SELECT signal, count(*) AS files, CASE max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity FROM ({_LEXICAL}) GROUP BY signal"
 ORACLES["style_score"] = """SELECT doc_id, round(1 - exp(-((CASE WHEN doc_id % 2 = 0 THEN 2 * 0.66 ELSE 0.0 END) + (CASE WHEN doc_id % 7 = 0 THEN 1.0 WHEN doc_id % 3 = 0 THEN 0.33 ELSE 0.0 END)
   + (CASE WHEN doc_id % 5 = 0 THEN 0.5 ELSE 0.0 END)) / 8.0), 4) AS score, CAST((doc_id % 2 = 0)::INT + (doc_id % 5 = 0)::INT + (doc_id % 7 = 0)::INT AS BIGINT) AS shown FROM documents"""
+_DASH = "'" + Q._DASHED.replace("\n", "' || chr(10) || '") + "'"
+_SD = lambda x: f"list_aggregate({x}, 'stddev_pop')"
+_WORD_OF = "[\\p{L}\\p{N}][\\p{L}\\p{N}_''’-]*"
+ORACLES["style_metrics"] = rf"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '(^|\n)[ \t]*[-#|`~*+.)0-9]+', '\1x', 'g') || CASE WHEN doc_id % 3 = 0 THEN {_DASH} ELSE '' END AS t FROM documents),
+p AS (SELECT doc_id, t, list_filter(list_transform(regexp_split_to_array(t, '\n(?:[ \t\f\v]*\n)+'), lambda x: trim(array_to_string(list_transform(string_split(x, chr(10)), lambda y: trim(y, ' ' || chr(9) || chr(10))), ' '))), lambda x: x <> '') AS paras FROM t),
+s AS (SELECT *, list_transform(paras, lambda x: list_filter(string_split(regexp_replace(x, '([…?!.])\s+([*_(\["''“‘]*[0-9A-ZÀ-ÖØ-Þ])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda y: trim(y) <> '')) AS sents, regexp_extract_all(t, '{_WORD_OF}') AS words FROM p),
+m AS (SELECT doc_id, len(paras) AS np, flatten(sents) AS flat, {_SD('list_transform(sents, lambda x: len(x))')} AS sd_p, {_SD(f"list_transform(paras, lambda x: len(regexp_extract_all(x, '{_WORD_OF}')))")} AS sd_w,
+  list_transform(words[1:300], lambda x: lower(x)) AS w, len(words) AS nw, length(t) - length(replace(t, '—', '')) AS dashes, length(t) - length(replace(t, ',', '')) AS commas FROM s),
+n AS (SELECT *, len(flat) AS ns, {_SD(f"list_transform(flat, lambda x: len(regexp_extract_all(x, '{_WORD_OF}')))")} AS sd_s, len(list_distinct(w)) / CAST(len(w) AS DOUBLE) AS ttr, dashes / CAST(greatest(len(flat), 1) AS DOUBLE) AS density, dashes / CAST(greatest(commas, 1) AS DOUBLE) AS ratio FROM m),
+r AS (SELECT doc_id, 'type_token_ratio' AS signal, ttr AS value, CASE WHEN ttr < 0.35 THEN 'high' WHEN ttr < 0.42 THEN 'medium' WHEN ttr < 0.50 THEN 'low' END AS severity FROM n WHERE nw >= 100
+UNION ALL SELECT doc_id, 'paragraph_uniformity', sd_p, CASE WHEN sd_p < 0.25 THEN 'high' WHEN sd_p < 0.5 THEN 'medium' END FROM n WHERE np >= 5
+UNION ALL SELECT doc_id, 'paragraph_length_stddev', sd_w, CASE WHEN sd_w < 4 THEN 'high' WHEN sd_w < 8 THEN 'medium' WHEN sd_w < 12 THEN 'low' END FROM n WHERE np >= 5
+UNION ALL SELECT doc_id, 'sentence_uniformity', sd_s, CASE WHEN sd_s < 3 THEN 'high' WHEN sd_s < 5 THEN 'medium' END FROM n WHERE ns >= 8
+UNION ALL SELECT doc_id, 'sentence_length_stddev', sd_s, CASE WHEN sd_s >= 5 AND sd_s < 7 THEN 'low' END FROM n WHERE ns >= 8
+UNION ALL SELECT doc_id, 'em_dash_density', density, CASE WHEN density >= 0.80 THEN 'high' WHEN density >= 0.40 THEN 'medium' WHEN density >= 0.20 THEN 'low' END FROM n WHERE dashes >= 3
+UNION ALL SELECT doc_id, 'em_dash_to_comma_ratio', ratio, CASE WHEN ratio >= 0.60 THEN 'high' WHEN ratio >= 0.30 THEN 'medium' WHEN ratio >= 0.15 THEN 'low' END FROM n WHERE dashes >= 3)
+SELECT doc_id, signal, round_even(value, 3) AS value, severity FROM r WHERE severity IS NOT NULL"""
+_TURN = "'On the other hand, a. On the other hand, b. '".replace("b", "a")
+ORACLES["style_structure"] = f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'low' ELSE 'medium' END AS closing, CASE WHEN doc_id % 3 = 0 THEN 16 ELSE 14 END AS after FROM documents)
+SELECT doc_id, 'template_heading' AS signal, CAST(1 AS DOUBLE) AS value, 'low' AS severity, 1 AS line, '# 🚀 Why item ' || doc_id || ' matters' AS snippet FROM d
+UNION ALL SELECT doc_id, 'emoji_heading', 1, 'low', 1, '# 🚀 Why item ' || doc_id || ' matters' FROM d
+UNION ALL SELECT doc_id, 'bold_lead_in', 3, 'low', k, x FROM d, (VALUES (3, '**Speed:** fast.'), (4, '**Cost:** low.'), (5, '**Care:** high.')) v(k, x)
+UNION ALL SELECT doc_id, 'comparison_table_symmetry', 1, 'medium', 7, '| name | size |' FROM d
+UNION ALL SELECT doc_id, 'declarative_close', 1, closing, 12, 'It''s not a tool. It''s item ' || doc_id || '.' FROM d
+UNION ALL SELECT doc_id, 'on_the_other_hand_cascade', 3, 'medium', 14, trim(substr(repeat('On the other hand, a. ', 3), greatest(22 * k - 25, 0) + 1, 42 + 22 * k - greatest(22 * k - 25, 0))) FROM d, (VALUES (0), (1), (2)) v(k) WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, 'tricolon_uniform', 3, 'medium', after + 2 * k, 'It is fast, small and cheap.' FROM d, (VALUES (0), (1), (2)) v(k) WHERE doc_id % 5 = 0"""
 ORACLES["naturalize_tail"] = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'We look at item ' || doc_id || '. Maybe it works. It does.' ELSE 'Plain words.' END AS text, CAST(CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 0 END AS BIGINT) AS edits FROM documents"""
 
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9]+')"
@@ -107,22 +132,42 @@ SELECT doc_id, CAST(len(t) AS BIGINT) AS tokens, left(sha256(t[1]), 16) AS first
 ORACLES["gumbel_positions"] = f"""WITH t AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
 k AS (SELECT doc_id, len(t) AS n, len(list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+3], ' ')))) AS kinds FROM t)
 SELECT doc_id, CAST(n AS BIGINT) AS tokens_total, CAST(least(n, 4) AS BIGINT) AS skipped_no_context, CAST(greatest(n - 4, 0) - kinds AS BIGINT) AS skipped_repeated, CAST(kinds AS BIGINT) AS counted FROM k"""
+
+
+def _keyed_hash(key: str, message: str) -> str:
+    """HMAC-SHA256 in SQL: hexadecimal digits of a 32-byte key (padded to 64) and of a message to those of the digest."""
+    digits = "0123456789abcdef"
+    flip = lambda by: f"array_to_string(list_transform(range(1, 65), lambda i: translate(substr({key}, i, 1), '{digits}', CASE WHEN i % 2 = 1 THEN '{''.join(digits[int(c, 16) ^ by >> 4] for c in digits)}' ELSE '{''.join(digits[int(c, 16) ^ by & 15] for c in digits)}' END)), '') || repeat('{by:02x}', 32)"
+    return f"sha256(unhex({flip(0x5C)} || sha256(unhex({flip(0x36)} || {message}))))"
+
+
+ORACLES["gumbel_statistic"] = f"""WITH t AS (SELECT doc_id, list_transform({_TOKENS}, lambda x: left(sha256(x), 16)) AS t FROM documents),
+w AS (SELECT doc_id, unnest(range(5, len(t) + 1)) AS i, t FROM t),
+c AS (SELECT doc_id, i, array_to_string(t[i-4:i-1], '') AS context, t[i] AS id FROM w),
+f AS (SELECT doc_id, context, min_by(id, i) AS id FROM c GROUP BY ALL),
+k AS (SELECT doc_id, id, {_keyed_hash("rpad('0102030405', 64, '0')", "context")} AS seed FROM f),
+u AS (SELECT doc_id, (CAST(CAST('0x' || left({_keyed_hash("seed", "id")}, 16) AS UBIGINT) AS DOUBLE) + 0.5) / 18446744073709551616.0 AS u FROM k),
+s AS (SELECT doc_id, count(*) AS n, sum(-ln(1 - u)) AS s FROM u GROUP BY doc_id),
+l AS (SELECT *, list_transform(range(0, n), lambda k: k * ln(s) - lgamma(k + 1)) AS terms FROM s),
+p AS (SELECT doc_id, s, -(list_max(terms) - s + ln(list_sum(list_transform(terms, lambda x: exp(x - list_max(terms)))))) / ln(10) AS score FROM l)
+SELECT doc_id, round(p.s, 3) AS statistic, CASE WHEN p.s IS NULL THEN 0.0 ELSE round(greatest(p.score, 0), 3) END AS score, coalesce(p.score > 6, FALSE) AS is_watermarked FROM documents LEFT JOIN p USING (doc_id)"""
 ORACLES["token_id_input"] = """SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS n, lpad(lower(to_hex(doc_id)), 16, '0') AS first_id,
   CASE WHEN doc_id % 2 = 0 THEN 'ffffffffffffffff' ELSE '00000000000000ff' END AS second_id FROM documents"""
 
 ORACLES["classify_paths"] = f"SELECT doc_id, {pick(['image', 'container', 'text', 'av', 'unknown', 'container', 'text', 'image'])} AS kind FROM documents"
 ORACLES["classify_magic"] = f"SELECT doc_id, {pick(Q._HEAD_FORMATS)} AS format, {pick(Q._HEAD_KINDS)} AS kind FROM documents"
-_WHY = {0: "a PNG image", 1: "a JPEG image", 2: "a RIFF file (WebP, WAV or AVI)", 5: "a BMP image", 6: "a GIF image", 7: "a TIFF image", 9: "a RIFF file (WebP, WAV or AVI)", 10: "a PDF", 13: "a ZIP container (Office, ODT, EPUB, JAR)"}
-_NUL = "binary data (contains NUL bytes)"
-ORACLES["looks_binary"] = f"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN {pick([_WHY.get(i, _NUL if i in (3, 4, 8) else None) for i in range(14)])}
-  WHEN doc_id % 4 = 1 AND strlen(text) < 600 THEN CASE WHEN starts_with(text, 'BM') THEN 'a BMP image' ELSE '{_NUL}' END
-  WHEN doc_id % 4 = 1 AND starts_with(text, 'BM') THEN 'a BMP image'
-  WHEN doc_id % 4 = 2 THEN 'binary data (dense in control bytes)' END AS reason FROM documents"""
+_CONTROLS = _IN([f"{b:02X}" for b in range(32) if b not in (9, 10, 11, 12, 13, 27)])
+_CONTENT = f"CASE WHEN doc_id % 4 = 0 THEN {pick([h.hex().upper() for h in Q._HEADS])} WHEN doc_id % 4 = 2 THEN repeat('01', 20) ELSE '' END || hex(encode(coalesce(text, ''))) || CASE WHEN doc_id % 4 = 1 THEN '00' ELSE '' END"
+_HEADED = " ".join(f"WHEN starts_with(h, '{magic.hex().upper()}') THEN '{name}'" for magic, name in formats.BINARY_HEADS)
+ORACLES["looks_binary"] = f"""WITH h AS (SELECT doc_id, substr({_CONTENT}, 1, 16384) AS h FROM documents), b AS (SELECT *, regexp_extract_all(h, '..') AS bytes FROM h)
+SELECT doc_id, CASE {_HEADED} WHEN list_contains(bytes, '00') THEN 'binary data (contains NUL bytes)'
+  WHEN len(bytes) > 0 AND len(list_filter(bytes, lambda x: list_contains({_CONTROLS}, x))) / CAST(len(bytes) AS DOUBLE) > 0.05 THEN 'binary data (dense in control bytes)' END AS reason FROM b"""
 ORACLES["finding_confidence"] = f"SELECT doc_id, {pick(['confirmed', 'informational', 'likely_false_positive', 'probable', 'probable', 'informational', 'informational', 'confirmed', 'informational', 'confirmed', 'probable'])} AS confidence FROM documents"
 _PATH = r"regexp_extract(url, '^[^?#]*?//[^/?#]*([^?#]*)', 1)"
 ORACLES["guess_kind"] = f"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'html' WHEN 2 THEN 'epub' ELSE
   CASE WHEN regexp_matches(lower({_PATH}), '\\.html?$') THEN 'html' WHEN starts_with(lower(ltrim(html)), '<!doctype html') OR starts_with(lower(ltrim(html)), '<html') THEN 'html' ELSE 'text' END END AS kind FROM pages"""
 ORACLES["url_origins"] = r"SELECT lower(regexp_extract(url, '^(https?://[^/?#:]+)', 1)) AS origin, count(*) AS pages FROM pages GROUP BY 1"
+ORACLES["sitemap_discovery"] = r"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN lower(regexp_extract(url, '^(https?://[^/?#:]+)', 1)) || '/maps/' || page_id || '.xml' END AS sitemap FROM pages"
 ORACLES["sitemap_pages"] = "SELECT DISTINCT url AS site, url AS page FROM pages"
 
 _RX = lambda p: f"regexp_extract_all(html, {q('(?i)' + p)})"
@@ -130,8 +175,15 @@ ORACLES["html_inspect"] = f"""SELECT page_id, page_id % 10 = 0 AS has_c2pa, page
   CAST((page_id % 4 = 0)::INT + (page_id % 10 = 0)::INT AS BIGINT) AS metas, CAST((page_id % 5 = 0)::INT AS BIGINT) AS infos, CAST((page_id % 6 = 0)::INT AS BIGINT) AS ld, CAST((page_id % 9 = 0)::INT AS BIGINT) AS attrs FROM {P.PAGES}"""
 for _name, _kinds in (("image_inspect", P.IMAGES), ("av_inspect", P.AV), ("container_inspect", P.CONTAINERS)):
     ORACLES[_name] = f"SELECT doc_id, e.format, e.has_c2pa, e.has_ai FROM documents JOIN (VALUES {P.expected(_kinds)}) e(k, name, format, has_c2pa, has_ai) ON doc_id % {len(_kinds)} = e.k"
-ORACLES["load_files"] = """SELECT doc_id, CASE WHEN doc_id % 5 = 4 OR doc_id % 4 = 3 THEN NULL WHEN doc_id % 4 = 0 THEN sha256(coalesce(text, '')) ELSE sha256('café déjà vu') END AS text_sha256,
-  CASE WHEN doc_id % 5 = 4 THEN 'unsupported format: exe' WHEN doc_id % 4 = 3 THEN 'binary content' END AS skip_reason, CAST(CASE WHEN doc_id % 4 = 2 THEN 1 ELSE 0 END AS BIGINT) AS notes FROM documents"""
+_PLAIN = "regexp_replace(coalesce(text, ''), '[^ -~\\n]', '?', 'g')"
+ORACLES["load_files"] = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, {_PLAIN} AS p, strlen(coalesce(text, '')) AS bytes FROM documents),
+k AS (SELECT *, CASE WHEN doc_id % 5 = 4 THEN 'unsupported format: exe' WHEN bytes + CASE doc_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 6 WHEN 2 THEN length(p) + 5 - bytes ELSE 1 END > 1000000 THEN 'too large' WHEN doc_id % 4 = 3 THEN 'binary content' END AS why FROM t)
+SELECT doc_id, CASE WHEN why IS NULL THEN sha256(CASE doc_id % 4 WHEN 0 THEN t WHEN 1 THEN 'café ' || t ELSE CASE WHEN length(p) >= 45 THEN 'caf' || chr(65533) ELSE 'café' END || ' ' || p END) END AS text_sha256, why AS skip_reason,
+  CASE WHEN doc_id % 4 = 2 AND (why IS NULL OR doc_id % 5 = 4 OR why = 'too large') THEN CASE WHEN length(p) >= 45 THEN '1 invalid UTF-8 sequences replaced' ELSE 'decoded as Windows-1252' END END AS note FROM k"""
+ORACLES["load_office"] = f"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split({_PLAIN}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'pdf' ELSE 'docx' END AS format, CASE WHEN doc_id % 5 > 0 THEN sha256(array_to_string(list_prepend('## Head', lines), chr(10) || chr(10)) || chr(10)) END AS text_sha256, doc_id % 5 = 0 AS skipped FROM p"""
+for _name, _where in (("walk_audit", "IN (0, 4)"), ("walk_style", "IN (0, 3)"), ("walk_listed", "IN (1, 2)"), ("walk_texts", "= 0")):
+    ORACLES[_name] = f"SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents WHERE doc_id % 5 {_where}"
 
 _HIT = lambda c: f"contains(text, chr({c}))"
 _PAGE_AI = "(page_id % 4 = 0 OR page_id % 6 = 0 OR page_id % 9 = 0 OR page_id % 10 = 0)"
@@ -164,7 +216,7 @@ _LINE = lambda conf, kind, label, char: f"SELECT '[{conf}] doc/' || doc_id || '.
 ORACLES["audit_lines"] = " UNION ALL ".join((_LINE("probable", "zwj_family", "U+200B ZERO WIDTH SPACE (Cf)", 8203), _LINE("informational", "space", "U+00A0 NO-BREAK SPACE (Zs)", 160), _LINE("probable", "em_dash", "U+2014 EM DASH (Pd)", 8212)))
 ORACLES["path_rules"] = f"SELECT doc_id, regexp_matches(p, '^docs/') OR regexp_matches(p, '-draft\\.md$') OR regexp_matches(p, '(^|/)1.\\.txt$') AS ignored FROM (SELECT doc_id, {pick(['src', 'docs', 'docs/old', 'x'])} || '/' || doc_id || {pick(['.md', '.txt', '-draft.md'])} AS p FROM documents)"
 
-_PAIRS = """pairs AS (SELECT conv_id, turn, before, CASE WHEN turn % 2 = 0 THEN before || ' ' || substr(after, 1, 40) ELSE after END AS after FROM (
+_PAIRS = """pairs AS (SELECT conv_id, turn, before, CASE WHEN turn % 2 = 0 THEN before || ' ' || after ELSE after END AS after FROM (
   SELECT conv_id, turn, text || ' see https://x.invalid/a and 42 or ' || turn AS before, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations) WHERE after IS NOT NULL)"""
 _BI = lambda x: f"list_distinct(list_transform(range(1, len({x})), lambda i: {x}[i] || ' ' || {x}[i+1]))"
 _JACCARD = "CASE WHEN len(a) = 0 AND len(b) = 0 THEN 0.0 WHEN len(a) = 0 OR len(b) = 0 THEN 1.0 WHEN len(x) + len(y) = 0 THEN 0.0 ELSE 1 - len(list_intersect(x, y)) / CAST(len(x) + len(y) - len(list_intersect(x, y)) AS DOUBLE) END"
@@ -201,6 +253,12 @@ ORACLES["compare_unmatched"] = "SELECT 'before' AS side, doc_id AS path FROM doc
 ORACLES["compare_signals"] = f"""WITH {_SIDES}, m AS (SELECT b.s AS bs, a.s AS s FROM b JOIN a USING (path))
 SELECT x.n AS signal, count_if(list_contains(bs, x.n)) AS files_before, count_if(list_contains(s, x.n)) AS files_after, x.sev AS severity_before, x.sev AS severity_after FROM m, (VALUES ('bold_lead_in', 'high'), ('delve_family', 'low'), ('worth_noting', 'medium')) x(n, sev) GROUP BY x.n, x.sev"""
 
+_ONLY = lambda t: f"round(1 - exp(-(CASE WHEN list_contains({t}.s, 'delve_family') THEN 0.33 ELSE 0.0 END + CASE WHEN list_contains({t}.s, 'worth_noting') THEN 0.66 ELSE 0.0 END) / 8.0), 4)"
+_SOME = lambda test: f"array_to_string(list_filter(['delve_family', 'worth_noting'], lambda x: {test}), ',')"
+ORACLES["compare_only"] = f"""WITH {_SIDES}
+SELECT path, {_ONLY('b')} AS before_score, {_ONLY('a')} AS after_score, round({_ONLY('a')} - {_ONLY('b')}, 4) AS delta, {_SOME('list_contains(b.s, x) AND list_contains(a.s, x)')} AS signals_remaining,
+  {_SOME('list_contains(b.s, x) AND NOT list_contains(a.s, x)')} AS signals_eliminated, {_SOME('list_contains(a.s, x) AND NOT list_contains(b.s, x)')} AS signals_introduced FROM b JOIN a USING (path)"""
+
 ORACLES["stream_event_windows"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 ORACLES["stream_inspect"] = f"SELECT doc_id, CAST(length(text) - length(replace(replace(replace(text, chr(8203), ''), chr(160), ''), chr(8212), '')) AS BIGINT) AS suspicious FROM {P.DOCS}"
 

@@ -120,6 +120,22 @@ def zipped(**parts: str | bytes) -> bytes:
     return out.getvalue()
 
 
+def docx_of(lines: Column) -> Column:
+    """A DOCX file of a heading and a paragraph for each line."""
+
+    def build(texts: pa.Array) -> pa.Array:
+        files = []
+        for t in texts.to_pylist():
+            told = (f"<w:p><w:r><w:t>{line.replace('&', '&amp;').replace('<', '&lt;')}</w:t></w:r></w:p>" for line in t.split("\n"))
+            head = '<w:p><w:pPr><w:pStyle w:val="H2"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p>'
+            space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+            named = f'<w:styles {space}><w:style w:styleId="H2"><w:name w:val="heading 2"/></w:style></w:styles>'
+            files.append(zipped(**{"word/document.xml": f"<w:document {space}><w:body>{head}{''.join(told)}</w:body></w:document>", "word/styles.xml": named}))
+        return pa.array(files, pa.binary())
+
+    return F.arrow_udf(build, "binary")(lines)
+
+
 MARK = b"Generated by OpenAI"
 #: (file name, bytes, format, has_c2pa, has_ai_metadata)
 IMAGES = [

@@ -71,21 +71,12 @@ def unicode_confusables(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.sha2("c.text", 256).alias("clean_sha256"), F.sha2("latin", 256).alias("latin_sha256"), F.col("c.replaced_count").cast("long").alias("replaced_count"))
 
 
-@query
-def unicode_nfkc(spark: SparkSession, d: str) -> DataFrame:
-    """Compatibility normalisation of whole texts: the folded tail where one is planted, whether folding changed the text, and characters it replaced [U11]."""
-    rows = P.docs(spark, d).select("doc_id", U.clean(F.col("text"), U.Options(nfkc=True)).alias("c"))
-    tail = F.when(F.col("doc_id") % 17 == 0, F.right("c.text", F.lit(2))).otherwise("Ab")
-    folds = F.coalesce(F.try_element_at("c.replaced", F.lit("NFKC_normalize")), F.lit(0))
-    return rows.select("doc_id", tail.alias("folded"), F.col("c.nfkc_changed").alias("changed"), folds.cast("long").alias("replaced_count"))
-
-
 #: Characters with compatibility forms, put in front of a text by its id.
 _COMPATIBLE = ["", "\ufb01ne ", "x\u00b2 ", "\uff34\uff45\uff58\uff54 ", "\u2460 \u2026 ", "\u212b e\u0301 ", "\u33a5 \u00bd "]
 
 
 @query
-def unicode_nfkc_text(spark: SparkSession, d: str) -> DataFrame:
+def unicode_nfkc(spark: SparkSession, d: str) -> DataFrame:
     """Digest and length of the whole text after compatibility normalisation, and what that changed [U11]."""
     rows = P.docs(spark, d).select("doc_id", U.clean(F.concat(_pick(_COMPATIBLE), "text"), U.Options(nfkc=True)).alias("c"))
     return rows.select("doc_id", F.sha2("c.text", 256).alias("folded_sha256"), F.col("c.output_length").cast("long").alias("folded_length"), F.col("c.nfkc_changed").alias("changed"), F.col("c.replaced_count").cast("long").alias("replaced_count"))
@@ -99,7 +90,7 @@ _CONTEXT = [
     ("x \u202bab", "x ab", "bidi"),
     ("\U0001f468\u200d\U0001f469 family", "\U0001f468\u200d\U0001f469 family", ""),
     ("a\u200db", "ab", "zwj_family"),
-    ("\u0645\u06cc\u200c\u0631\u0648\u0645", "\u0645\u06cc\u200c\u0631\u0648\u0645", ""),
+    ("\u06a9\u062a\u0627\u0628\u200c\u0647\u0627", "\u06a9\u062a\u0627\u0628\u200c\u0647\u0627", ""),
     ("\u845b\U000e0100", "\u845b\U000e0100", ""),
     ("a\U000e0100", "a", "variation_selector"),
     ("\u1820\u180b", "\u1820\u180b", ""),
@@ -179,7 +170,7 @@ def style_lexical_signals(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def style_report(spark: SparkSession, d: str) -> DataFrame:
-    """All signals scored, and the same score computed in the JVM [P4, P5, P7 to P17, P19, P20, P21]."""
+    """All signals scored, and the same score computed in the JVM [P19, P20]."""
     rows = _styled(spark, d).select("doc_id", style.analyze(F.col("text")).alias("r"))
     return rows.select("doc_id", "r.score", style.score(F.col("r.signals")).alias("jvm_score"), "r.confidence", F.col("r.words").cast("long").alias("words"), F.size("r.signals").cast("long").alias("signals"))
 
@@ -207,6 +198,39 @@ def style_top_files(spark: SparkSession, d: str) -> DataFrame:
     return style.top_files(rows)
 
 
+#: Signals of counts over words, sentences, paragraphs and dashes.
+STYLE_METRICS = ["type_token_ratio", "paragraph_uniformity", "paragraph_length_stddev", "sentence_uniformity", "sentence_length_stddev", "em_dash_density", "em_dash_to_comma_ratio"]
+_DASHED = "\n\nOne \u2014 two. Three \u2014 four \u2014 five, six. Seven."
+
+
+@query
+def style_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metric signals of whole texts, made prose by taking marks from the starts of lines [P4, P5, P13 to P17, P18]."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
+    text = F.regexp_replace(text, r"(^|\n)[ \t]*[-#|`~*+.)0-9]+", "$1x")
+    text = F.concat(text, F.when(F.col("doc_id") % 3 == 0, _DASHED).otherwise(""))
+    rows = P.table(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(style.analyze(text)["signals"]).alias("s"))
+    return rows.where(F.col("s.name").isin(STYLE_METRICS)).select("doc_id", F.col("s.name").alias("signal"), F.col("s.value").alias("value"), F.col("s.severity").alias("severity"))
+
+
+_STRUCTURED = [
+    "# \U0001f680 Why item {id} matters\n\n**Speed:** fast.\n**Cost:** low.\n**Care:** high.\n\n| name | size |\n| ---- | ---- |\n| aaaa | bbbb |\n| cccc | dddd |\n\nIt's not a tool. It's item {id}.\n",
+    "\n" + "On the other hand, a. " * 3 + "\n",
+    "\nIt is fast, small and cheap.\n" * 3,
+]
+STYLE_STRUCTURE = ["template_heading", "emoji_heading", "bold_lead_in", "comparison_table_symmetry", "declarative_close", "on_the_other_hand_cascade", "tricolon_uniform"]
+
+
+@query
+def style_structure(spark: SparkSession, d: str) -> DataFrame:
+    """Structural signals of planted headings, labels, tables and turns, with lines and snippets [P7 to P12, P21]."""
+    i = F.col("doc_id").cast("string")
+    first = F.replace(F.lit(_STRUCTURED[0]), F.lit("{id}"), i)
+    text = F.concat(first, F.when(F.col("doc_id") % 3 == 0, _STRUCTURED[1]).otherwise(""), F.when(F.col("doc_id") % 5 == 0, _STRUCTURED[2]).otherwise(""))
+    rows = P.table(spark, d, "documents", "doc_id").select("doc_id", F.explode(style.analyze(text)["signals"]).alias("s"))
+    return rows.where(F.col("s.name").isin(STYLE_STRUCTURE)).select("doc_id", F.col("s.name").alias("signal"), F.col("s.value").alias("value"), F.col("s.severity").alias("severity"), F.col("s.line").alias("line"), F.col("s.snippet").alias("snippet"))
+
+
 @query
 def naturalize_report(spark: SparkSession, d: str) -> DataFrame:
     """Style edits per document [N1 to N13, H11]."""
@@ -247,6 +271,14 @@ def gumbel_report(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "r.gumbel.p_value", "r.gumbel.score", "r.gumbel.is_watermarked", F.col("r.vendor.available").alias("vendor_available"), F.col("r.model_watermark.reason").alias("model_reason"))
 
 
+@query
+def gumbel_statistic(spark: SparkSession, d: str) -> DataFrame:
+    """The keyed test's sum and verdict [D2, D3, D5, D6]."""
+    text = F.coalesce("text", F.lit(""))
+    rows = P.table(spark, d, "documents", "doc_id", "text").select("doc_id", watermark.detect_ids(watermark.simple_tokens(text), "0x0102030405").alias("r"))
+    return rows.select("doc_id", F.round("r.statistic", 3).alias("statistic"), F.round("r.score", 3).alias("score"), F.col("r.is_watermarked").alias("is_watermarked"))
+
+
 @query
 def token_id_input(spark: SparkSession, d: str) -> DataFrame:
     """Token ids from JSON and from lines [S12]."""
@@ -284,16 +316,7 @@ def classify_magic(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def looks_binary(spark: SparkSession, d: str) -> DataFrame:
-    """Why bytes are no text, on whole contents; a NUL ends every second odd text that is short [R6, S1]."""
-    short = F.octet_length("text") < 600
-    content = F.when(F.col("doc_id") % 4 == 0, _pick(_HEADS)).when(F.col("doc_id") % 4 == 1, F.concat(F.col("text").cast("binary"), F.when(short, F.lit(b"\0")).otherwise(F.lit(b"")))).when(F.col("doc_id") % 4 == 2, F.lit(b"\1\2\3\4abcdefgh")).otherwise(F.concat(F.lit("t "), "text").cast("binary"))
-    rows = P.table(spark, d, "documents", "doc_id", "text").select("doc_id", content.alias("content"))
-    return rows.select("doc_id", formats.looks_binary(F.col("content")).alias("reason"))
-
-
-@query
-def looks_binary_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same with every document's whole text: behind a known head, before a NUL, after control bytes, or alone [R6, S1]."""
+    """Why whole contents are no text: behind a known head, before a NUL, after control bytes, or alone [R6, S1]."""
     text = F.coalesce("text", F.lit("")).cast("binary")
     content = F.when(F.col("doc_id") % 4 == 0, F.concat(_pick(_HEADS), text)).when(F.col("doc_id") % 4 == 1, F.concat(text, F.lit(b"\0"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit(b"\1" * 20), text)).otherwise(text)
     rows = P.table(spark, d, "documents", "doc_id", "text").select("doc_id", content.alias("content"))
@@ -326,7 +349,7 @@ def url_origins(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sitemap_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages named by a sitemap of each URL: its own, one twice, and one elsewhere [S8, S9]."""
+    """Pages named by a sitemap of each URL: its own, one twice, and one elsewhere [S8]."""
     loc = lambda u: F.concat(F.lit("<url><loc>"), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
     url = F.col("url")
     xml = F.concat(F.lit('<urlset xmlns="x">'), loc(url), loc(url), loc(F.lit("https://elsewhere.invalid/a")), F.lit("</urlset>"))
@@ -334,6 +357,17 @@ def sitemap_pages(spark: SparkSession, d: str) -> DataFrame:
     return S.sitemap_pages(rows.distinct())
 
 
+@query
+def sitemap_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """The sitemap that a site's robots.txt names: its first one, unless that is elsewhere [S9]."""
+    site = F.concat(S.origin(F.col("url")), F.lit("/"))
+    named = F.when(F.col("page_id") % 3 == 0, F.concat(site, F.lit("maps/"), F.col("page_id").cast("string"), F.lit(".xml"))).when(F.col("page_id") % 3 == 1, "https://elsewhere.invalid/s.xml").otherwise("")
+    lead = F.when(F.col("page_id") % 2 == 0, "User-agent: *\r\n# SITEMAP: no\r\nSiteMap:  ").otherwise("sitemap:")
+    robots = F.when(named != "", F.concat(lead, named, F.lit(" \nSitemap: https://second.invalid/x"))).otherwise("User-agent: *\nDisallow: /x")
+    rows = P.table(spark, d, "pages", "page_id", "url").select("page_id", site.alias("site"), robots.cast("binary").alias("robots"))
+    return rows.select("page_id", S.robots_sitemap(F.col("site"), F.col("robots")).alias("sitemap"))
+
+
 # formats:
 
 
@@ -386,12 +420,76 @@ def html_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def load_files(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of files by format, and why some are skipped [S4, S6, S7, H25]."""
-    text = F.concat(F.lit("\ufeff"), F.coalesce("text", F.lit("")))
-    content = F.when(F.col("doc_id") % 4 == 0, text.cast("binary")).when(F.col("doc_id") % 4 == 1, F.lit("café déjà vu").cast("binary")).when(F.col("doc_id") % 4 == 2, F.lit(b"caf\xe9 d\xe9j\xe0 vu")).otherwise(F.lit(b"a\0b"))
+    """Whole texts as files, marked, plain, in Windows-1252 and with a NUL: what is read, and why the rest is skipped [S4, H25]."""
+    text = F.coalesce("text", F.lit(""))
+    plain = F.regexp_replace(text, "[^ -~\n]", "?")
+    contents = (F.concat(F.lit("\ufeff"), text).cast("binary"), F.concat(F.lit("caf\u00e9 "), text).cast("binary"), F.concat(F.lit(b"caf\xe9 "), plain.cast("binary")), F.concat(F.lit(b"\0"), text.cast("binary")))
+    content = F.when(F.col("doc_id") % 4 == 0, contents[0]).when(F.col("doc_id") % 4 == 1, contents[1]).when(F.col("doc_id") % 4 == 2, contents[2]).otherwise(contents[3])
     path = F.concat(F.lit("f."), _pick(["txt", "md", "txt", "md", "exe"]))
     rows = P.table(spark, d, "documents", "doc_id", "text").select("doc_id", S.load(path, content).alias("r"))
-    return rows.select("doc_id", F.sha2("r.text", 256).alias("text_sha256"), F.col("r.skip_reason").alias("skip_reason"), F.size("r.notes").cast("long").alias("notes"))
+    return rows.select("doc_id", F.sha2("r.text", 256).alias("text_sha256"), F.col("r.skip_reason").alias("skip_reason"), F.get("r.notes", F.lit(0)).alias("note"))
+
+
+@query
+def load_office(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as DOCX files, a heading and a paragraph a line, read back; and files that only claim to be PDF [S6, S7, H25]."""
+    lines = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~\n]", "?")
+    content = F.when(F.col("doc_id") % 5 == 0, F.lit(b"%PDF-1.4 broken")).otherwise(P.docx_of(lines))
+    path = F.when(F.col("doc_id") % 5 == 0, "a.pdf").otherwise("a.docx")
+    rows = P.table(spark, d, "documents", "doc_id", "text").select("doc_id", S.load(path, content).alias("r"))
+    return rows.select("doc_id", "r.format", F.sha2("r.text", 256).alias("text_sha256"), F.col("r.skip_reason").isNotNull().alias("skipped"))
+
+
+# walks over real files:
+
+_FOLDERS = ["kept", "node_modules", ".hidden", "htmlcov", "old/drafts"]
+
+
+def _written(spark: SparkSession, d: str) -> str:
+    """documents as text files, a line per document with the digest of its text, in one folder of _FOLDERS by id."""
+    root = f"{_scratch(spark)}/files"
+    rows = P.table(spark, d, "documents", "doc_id", "text")
+    line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    for k, folder in enumerate(_FOLDERS):
+        rows.where(F.col("doc_id") % len(_FOLDERS) == k).select(line).write.text(f"{root}/{folder}")
+    return root
+
+
+def _lines(text) -> list:
+    parts = F.split("line", " ")
+    return [F.explode(F.filter(F.split(text, "\n"), lambda x: x != "")).alias("line")], [parts[0].cast("long").alias("doc_id"), parts[1].alias("text_sha256")]
+
+
+@query
+def walk_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Files below a folder as the audit walks it: hidden and skipped folders stay out [S2]."""
+    rows, fields = _lines(S.text_of(F.col("content")))
+    return S.read_files(spark, _written(spark, d), glob="*.txt").select(*rows).select(*fields)
+
+
+@query
+def walk_style(spark: SparkSession, d: str) -> DataFrame:
+    """Files as the style tools walk a folder: other skips, and globs that leave files out [S3]."""
+    root = _written(spark, d)
+    found = S.read_files(spark, root, S.STYLE_SKIPS, "*.txt", S.MAX_TEXT)
+    inner = F.regexp_replace(F.col("path"), "^.*/files/", "")
+    rows, fields = _lines(S.load(F.col("path"), F.col("content"))["text"])
+    return found.where(~S.ignored(inner, ["old/*"])).select(*rows).select(*fields)
+
+
+@query
+def walk_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Files by a list of their names, whatever folder they are in [S14]."""
+    root = _written(spark, d)
+    rows, fields = _lines(S.text_of(F.col("content")))
+    return S.read_listed(spark, [f"{root}/{f}" for f in _FOLDERS[1:3]]).select(*rows).select(*fields)
+
+
+@query
+def walk_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The .txt files of one folder as benchmark texts [S11]."""
+    rows, fields = _lines(F.col("text"))
+    return S.read_texts(spark, f"{_written(spark, d)}/kept", max_bytes=1 << 40).select(*rows).select(*fields)
 
 
 # audit:
@@ -425,7 +523,7 @@ def audit_sarif(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def audit_files(spark: SparkSession, d: str) -> DataFrame:
-    """Raw files end to end: kinds, flags, exit status [A1, A3, A4, S2, S13, S14]."""
+    """Raw files end to end: kinds, flags, exit status [A1, A3, A4, S13]."""
     items = audit.audit_files(P.files(spark, d, P.IMAGES + P.AV + P.CONTAINERS))
     flags = items.groupBy("kind").agg(F.count("*").alias("files"), F.count_if("has_c2pa").alias("with_c2pa"), F.count_if("has_ai_metadata").alias("with_ai"))
     return flags
@@ -460,7 +558,7 @@ def audit_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def path_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Files that the style walk takes and leaves out [S2, S3, S11]."""
+    """Files that the style walk takes and leaves out [S3]."""
     path = F.concat(_pick(["src", "docs", "docs/old", "x"]), F.lit("/"), F.col("doc_id").cast("string"), _pick([".md", ".txt", "-draft.md"]))
     rows = P.table(spark, d, "documents", "doc_id").select("doc_id", path.alias("path"))
     return rows.select("doc_id", S.ignored(F.col("path"), ["docs/*", "*-draft.md", "1?.txt"]).alias("ignored"))
@@ -469,28 +567,19 @@ def path_rules(spark: SparkSession, d: str) -> DataFrame:
 # pairs:
 
 
-def _turn_pairs(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def _turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn")
     rows = P.table(spark, d, "conversations").withColumn("after", F.lead("text").over(order))
     rows = rows.where(F.col("after").isNotNull()).withColumn("before", F.concat("text", F.lit(" see https://x.invalid/a and 42 or "), F.col("turn").cast("string")))
-    mixed = F.when(F.col("turn") % 2 == 0, F.concat("before", F.lit("\u00a0"), F.col("after") if whole else F.substring("after", 1, 40))).otherwise(F.col("after"))
+    mixed = F.when(F.col("turn") % 2 == 0, F.concat("before", F.lit("\u00a0"), "after")).otherwise(F.col("after"))
     return rows.select("conv_id", "turn", "before", mixed.alias("after"))
 
 
-def _quality(pairs: DataFrame) -> DataFrame:
-    return pairs.select("conv_id", "turn", pairwise.quality(F.col("before"), F.col("after")).alias("q")).select("conv_id", "turn", "q.lexical_divergence", "q.length_ratio", "q.numbers_preserved", "q.urls_preserved", "q.tokens_in", "q.tokens_out")
-
-
 @query
 def pair_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Divergence and what pairs of turns preserve; a rewrite quotes the start of the next turn [B1, B3, B4]."""
-    return _quality(_turn_pairs(spark, d))
-
-
-@query
-def pair_quality_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same where a rewrite holds the whole next turn [B1, B3, B4]."""
-    return _quality(_turn_pairs(spark, d, whole=True))
+    """Divergence and what pairs of turns preserve; every other rewrite holds the whole next turn [B1, B3, B4]."""
+    pairs = _turn_pairs(spark, d)
+    return pairs.select("conv_id", "turn", pairwise.quality(F.col("before"), F.col("after")).alias("q")).select("conv_id", "turn", "q.lexical_divergence", "q.length_ratio", "q.numbers_preserved", "q.urls_preserved", "q.tokens_in", "q.tokens_out")
 
 
 @query
@@ -562,12 +651,22 @@ def compare_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def compare_signals(spark: SparkSession, d: str) -> DataFrame:
-    """Signals over all pairs [C8, C11]."""
+    """Signals over all pairs [C8]."""
     pairs = corpus.pair_up(*_versions(spark, d))
     s = corpus.signal_deltas(pairs)
     return s.select("signal", F.col("files_before").cast("long").alias("files_before"), F.col("files_after").cast("long").alias("files_after"), "severity_before", "severity_after")
 
 
+@query
+def compare_only(spark: SparkSession, d: str) -> DataFrame:
+    """Before and after, by some signals only and scored by them [C11]."""
+    names = ["delve_family", "worth_noting"]
+    pairs = corpus.pair_up(*(corpus.only_signals(side, names) for side in _versions(spark, d)))
+    c = corpus.compare_pairs(pairs)
+    kept = [F.array_join(n, ",").alias(n) for n in ("signals_remaining", "signals_eliminated", "signals_introduced")]
+    return c.select("path", "before_score", "after_score", "delta", *kept)
+
+
 # streams:
 
 

@@ -243,6 +243,14 @@ def sitemap_pages(sitemaps: DataFrame, url: str = "url", content: str = "content
     return firsts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("site", "page")
 
 
+def robots_sitemap(site: Column, robots: Column) -> Column:
+    """The sitemap that the bytes of a site's robots.txt name first; null where it names none, or one of another origin."""
+    lines = F.split(text_of(robots), r"\r\n|\r|\n")
+    named = F.filter(lines, lambda x: F.lower(x).startswith("sitemap:"))
+    first = F.trim(F.substring(F.get(named, F.lit(0)), 9, 1 << 20))
+    return F.when(origin(first) == origin(site), first)
+
+
 def origin(url: Column) -> Column:
     """scheme://host:port, with the default port left out; null where it is no http(s) URL."""
     found = F.regexp_extract(url, r"(?i)^(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::(\d+))?", 0)

@@ -108,19 +108,14 @@ def test_unmatched_is_sequence_matcher(seed, monkeypatch):
 
 
 def test_nfkc_folds_whole_texts(spark, tmp_path):
-    """Both queries on documents with compatibility characters in their middle, against unicodedata; the matcher took minutes for the longest."""
+    """The query on documents with compatibility characters in their middle, against unicodedata; the matcher took minutes for the longest."""
     middle = ["plain", "", "oﬃce x²", "Ｆｕｌｌ", "① and …", None, "straße", "é", "word ﬁ " * 4, " ".join(map(str, range(9000))) + " ﬂ" * 4]
     texts = [None if m is None else f"begin {m} end" for m in middle]
     docs = spark.createDataFrame([(i, "en", "s", t) for i, t in enumerate(texts, 1)], "doc_id long, lang string, source string, text string")
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     planted = {r.doc_id: r.text for r in P.docs(spark, str(tmp_path)).collect()}
-    cleaned = {r.doc_id: r.t for r in P.docs(spark, str(tmp_path)).select("doc_id", U.clean_text(F.col("text")).alias("t")).collect()}
-    for r in Q.unicode_nfkc(spark, str(tmp_path)).collect():
-        folded = unicodedata.normalize("NFKC", cleaned[r.doc_id])
-        assert r.changed == (folded != cleaned[r.doc_id])
-        assert (r.replaced_count > 0) == r.changed and (r.doc_id != 10 or r.replaced_count == 4)
     heads = Q._COMPATIBLE
-    rows = Q.unicode_nfkc_text(spark, str(tmp_path)).collect()
+    rows = Q.unicode_nfkc(spark, str(tmp_path)).collect()
     assert len(rows) == len(texts) == len(planted)
     for r in rows:
         clean = U.clean_python(heads[r.doc_id % len(heads)] + planted[r.doc_id], U.Decider(U.Options()))["text"]

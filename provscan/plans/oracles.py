@@ -114,7 +114,7 @@ UNION ALL SELECT doc_id, 'sentence_uniformity', sd_s, CASE WHEN sd_s < 3 THEN 'h
 UNION ALL SELECT doc_id, 'sentence_length_stddev', sd_s, CASE WHEN sd_s >= 5 AND sd_s < 7 THEN 'low' END FROM n WHERE ns >= 8
 UNION ALL SELECT doc_id, 'em_dash_density', density, CASE WHEN density >= 0.80 THEN 'high' WHEN density >= 0.40 THEN 'medium' WHEN density >= 0.20 THEN 'low' END FROM n WHERE dashes >= 3
 UNION ALL SELECT doc_id, 'em_dash_to_comma_ratio', ratio, CASE WHEN ratio >= 0.60 THEN 'high' WHEN ratio >= 0.30 THEN 'medium' WHEN ratio >= 0.15 THEN 'low' END FROM n WHERE dashes >= 3)
-SELECT doc_id, signal, round_even(value, 3) AS value, severity FROM r WHERE severity IS NOT NULL"""
+SELECT doc_id, signal, CAST(format('{{:.3f}}', value) AS DOUBLE) AS value, severity FROM r WHERE severity IS NOT NULL"""
 _TURN = "'On the other hand, a. On the other hand, b. '".replace("b", "a")
 ORACLES["style_structure"] = f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'low' ELSE 'medium' END AS closing, CASE WHEN doc_id % 3 = 0 THEN 16 ELSE 14 END AS after FROM documents)
 SELECT doc_id, 'template_heading' AS signal, CAST(1 AS DOUBLE) AS value, 'low' AS severity, 1 AS line, '# 🚀 Why item ' || doc_id || ' matters' AS snippet FROM d

@@ -150,18 +150,17 @@ def strip_tiff(data: bytes, everything: bool) -> Stripped:
 
 
 def strip_id3(data: bytes, everything: bool) -> Stripped:
-    parsed = fm.id3_frames(data)
-    if parsed is None:
+    size, version, frames = fm.id3_frames(data) or (0, 0, None)
+    if frames is None:
         return data, []
-    total, major, frames = parsed
     if everything or not frames:
-        return (data[total:], [f"drop ID3v2.{major} tag"]) if everything or fm.marks_in(data[:total], fm.AI_MARKS) else (data, [])
+        return (data[size:], [f"drop ID3v2.{version} tag"]) if everything or fm.marks_in(data[:size], fm.AI_MARKS) else (data, [])
     pack7 = lambda n: bytes((n >> s & 127) for s in (21, 14, 7, 0))
     kept = [(n, p) for n, p in frames if not fm.marks_in(p, fm.AI_MARKS)]
     if len(kept) == len(frames):
         return data, []
-    body = b"".join(n + (pack7(len(p)) if major == 4 else struct.pack(">I", len(p))) + b"\0\0" + p for n, p in kept)
-    return b"ID3" + bytes((major, 0, 0)) + pack7(len(body)) + body + data[total:], [f"drop {len(frames) - len(kept)} ID3v2 frames"]
+    body = b"".join(n + (pack7(len(p)) if version == 4 else struct.pack(">I", len(p))) + b"\0\0" + p for n, p in kept)
+    return b"ID3" + bytes((version, 0, 0)) + pack7(len(body)) + body + data[size:], [f"drop {len(frames) - len(kept)} ID3v2 frames"]
 
 
 _BY_FORMAT = {"png": strip_png, "jpeg": strip_jpeg, "webp": strip_webp, "avif": strip_boxes, "heic": strip_boxes, "bmp": strip_bmp, "gif": strip_gif, "tiff": strip_tiff, "mp4": strip_boxes, "wav": strip_wav, "mp3": strip_id3}

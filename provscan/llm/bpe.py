@@ -12,10 +12,11 @@ order gives, and each (position, token) is visited once.
 
 from __future__ import annotations
 
-import builtins
 import hashlib
 import json
 import os
+import sys
+import types
 from array import array
 
 import ahocorasick
@@ -273,9 +274,14 @@ def library_words(vocabulary: Vocabulary, tokenizer):
     return miss
 
 
+def _store() -> dict:
+    """What this process keeps from task to task: functions travel by value, so the module they come from is none of the worker's."""
+    name = "provscan_worker_cache"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("kept", {})
+
+
 def _kept(key: tuple, build):
-    """A value that a Python worker keeps from task to task."""
-    store = builtins.__dict__.setdefault("_provscan_kept", {})
+    store = _store()
     if key not in store:
         store[key] = build()
     return store[key]
@@ -283,7 +289,7 @@ def _kept(key: tuple, build):
 
 def forget() -> None:
     """Frees what this worker keeps: for operators that need its memory for something else."""
-    builtins.__dict__.get("_provscan_kept", {}).clear()
+    _store().clear()
 
 
 def vocabulary(path: str) -> Vocabulary:

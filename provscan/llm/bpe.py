@@ -263,7 +263,8 @@ def library_words(vocabulary: Vocabulary, tokenizer):
         out: list[bytes] = []
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            # The call for batches keeps no offsets.
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
             if len(stops) != len(part):
                 raise ValueError("a word was not kept whole")

@@ -30,7 +30,9 @@ def read_files(spark: SparkSession, root: str, skip_dirs: list[str] = AUDIT_SKIP
     Size and path filters reach the scan, so bytes of other files are not read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    inside = F.concat(F.lit("/"), F.expr("replace(path, '" + root.rstrip("/").replace("'", "") + "', '')"))
+    # Roots and paths may write their scheme with one slash or three.
+    bare = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", root).rstrip("/")
+    inside = F.concat(F.lit("/"), F.replace(F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:/+", "/"), F.lit(bare), F.lit("")))
     hidden = inside.rlike(r"/(?:\.[^/]+|" + "|".join(map(re.escape, skip_dirs)) + ")/")
     rows = files.where(~hidden)
     return (rows if max_bytes is None else rows.where(F.col("length") <= max_bytes)).select("path", "length", "content")

@@ -159,3 +159,13 @@ def test_stream_dedup(spark, tmp_path):
     assert sorted(r["t"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
     facade.run_once(facade.without_copies(stream, "t", "ts"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_only_folders_below_the_root_are_skipped(spark, tmp_path, scheme):
+    root = tmp_path / ".cache" / "build"
+    for name in ("a.txt", "sub/b.txt", "build/c.txt", ".git/d.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x")
+    found = {r.path.rsplit("/", 1)[-1] for r in S.read_files(spark, f"{scheme}{root}").select("path").collect()}
+    assert found == {"a.txt", "b.txt"}

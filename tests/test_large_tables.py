@@ -36,6 +36,29 @@ def test_spans_of_a_line_are_those_of_all_kinds():
     assert step.restore(step.lines[0]) == line
 
 
+def test_chained_digests_are_hmacs():
+    for key in (b"", b"key", b"k" * 64, b"k" * 100):
+        seed = hmac.digest(key, b"context", "sha256")
+        assert watermark.Hmac(key).chained([b"context"], [b"8 bytes."]) == [hmac.digest(seed, b"8 bytes.", "sha256")]
+
+
+def test_keyed_test_of_texts_needs_no_column_of_tokens(spark):
+    df = spark.createDataFrame([("A b c d e f. A b c d e, A B C D E g",), ("KKIİ one two three four",), ("",), (None,)], "t string")
+    ids = watermark.simple_tokens(F.col("t"))
+    rows = df.select(watermark.detect_ids(ids, "key").alias("a"), watermark.detect_text(F.col("t"), "key").alias("b"), watermark.positions(F.col("t")).alias("p")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and rows[3]["b"] is None and rows[3]["p"] is None
+    assert all(r["a"][n] == r["p"][n] for r in rows[:3] for n in ("tokens_total", "skipped_no_context", "skipped_repeated", "counted")) and rows[0]["p"]["skipped_repeated"] > 0
+    plan = df.select(watermark.detect(F.col("t"), gumbel={"key": "key"})["gumbel"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "sha2" not in plan
+
+
+def test_gamma_tail_with_kept_logarithms():
+    logs = []
+    for s, n in ((3.0, 2), (700.0, 640), (20.0, 1), (5.0, 9)):
+        terms = [k * math.log(s) - math.lgamma(k + 1) for k in range(n)]
+        assert math.isclose(watermark.gamma_tail(s, n, logs), min(1.0, math.exp(-s) * sum(map(math.exp, terms))) if s < 600 else watermark.gamma_tail(s, n), rel_tol=1e-9)
+
+
 def test_few_rows_are_objects_at_once(spark):
     texts, most = pa.array(["x" * 20_000] * 1000), 0
 

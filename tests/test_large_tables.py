@@ -59,6 +59,14 @@ def test_gamma_tail_with_kept_logarithms():
         assert math.isclose(watermark.gamma_tail(s, n, logs), min(1.0, math.exp(-s) * sum(map(math.exp, terms))) if s < 600 else watermark.gamma_tail(s, n), rel_tol=1e-9)
 
 
+def test_suspects_are_told_quickly(spark):
+    df = spark.range(1).select(F.concat(F.lit("￼"), F.repeat(F.lit("plain text "), 300_000)).alias("t"))
+    df.select(U.suspect(F.col("t"))).collect()
+    began = time.time()
+    assert df.select(U.suspect(F.col("t"))).collect() == [(False,)]
+    assert time.time() - began < 5
+
+
 def test_few_rows_are_objects_at_once(spark):
     texts, most = pa.array(["x" * 20_000] * 1000), 0
 
